@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm import bpe, langid, matroska, pii, quality
-from querywright.llm.common import table
+from querywright.llm import bpe, langid, matroska, packing, pii, quality, rollup, simhash, suffix, warc
+from querywright.llm.common import fresh_dir, table
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), bpe.default_path()
     return bpe.encode_decode(docs, path, bpe.lexicon_of(spark, docs, path))
@@ -31,13 +36,33 @@ def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.corpus_rollup(table(spark, sf_dir, "documents"), bpe.default_path(), fresh_dir(spark, "rollup"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_two_fit(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_matroska_media, op4_bpe_lexicon, op5_pii_deobfuscation, op10_line_quality)}
+    found = (
+        op1_language_mixture, op2_matroska_media, op3_simhash_gray, op4_bpe_lexicon, op5_pii_deobfuscation,
+        op6_warc_shards, op7_token_rollups, op8_suffix_dedup, op9_best_two_fit, op10_line_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
