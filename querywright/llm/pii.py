@@ -15,6 +15,7 @@ import bisect
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -265,8 +266,6 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns, the text with its personal data replaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:
         return s.map(redacted, na_action="ignore")

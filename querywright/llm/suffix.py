@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -343,8 +344,6 @@ def kept_bytes(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """All columns of `df`, the text without its repeated passages. A character that a range cuts in two goes as a whole."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def keep(text: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t, s):
