@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import chunk_rows, map_chunks
+from querywright.llm.common import chunk_rows, map_chunks, stored
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for texts of plain characters only, where the two engines agree; see _ODD.
@@ -329,8 +329,9 @@ class Encoder:
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", max_words: int = 1 << 15, flush: int = 150_000) -> list[str]:
-    """The `max_words` words that occur most often in the whole corpus, ties by the word. Each task counts what it reads
-    before the shuffle, so a frequent word sends a few rows, not one for each time it occurs."""
+    """The words that occur most often in the whole corpus, `max_words` at most: words of like frequency are taken together
+    or not at all. Each task counts what it reads before the shuffle, so a frequent word sends a few rows, not one for
+    each time it occurs; the driver gets a histogram, then the words taken."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -349,7 +350,14 @@ def frequent_words(df: DataFrame, text_col: str = "text", max_words: int = 1 <<
             yield out()
 
     counts = df.select(F.col(text_col).alias("t")).mapInArrow(count, StructType.fromDDL("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    counts = stored(counts.filter("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    # A sixteenth of an octave a level, so at most about a thousand rows; the levels taken hold max_words words at most.
+    total, least = 0, None
+    for level, n in sorted(((r[0], r[1]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if (total := total + n) > max_words:
+            break
+        least = level
+    return [] if least is None else sorted(r[0] for r in counts.filter(F.col("level") >= least).select("word").collect())
 
 
 def compile_lexicon(words: list[str], path: str) -> bytes:
