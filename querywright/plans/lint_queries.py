@@ -67,8 +67,48 @@ def lint_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_catalog([DDL]).frames(spark)["cat_constraints"].select("relation", "type", "name", F.array_join("columns", ",").alias("columns"), "ref_table", "text")
 
 
+STAR = """
+CREATE TABLE region (r_regionkey INT PRIMARY KEY, r_name TEXT NOT NULL);
+CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT NOT NULL, FOREIGN KEY (n_regionkey) REFERENCES region);
+CREATE TYPE status AS ENUM ('F', 'O');
+CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT NOT NULL, o_orderstatus status, o_totalprice DOUBLE PRECISION, UNIQUE (o_custkey), CONSTRAINT dear CHECK (o_totalprice > 1000));
+"""
+
+
+def check_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the driver's tables that break declared constraints (some are declared too strictly on purpose)."""
+    from querywright.operators.constraints import violations
+    from querywright.session import load_tables
+
+    return violations(load_tables(spark, sf_dir, ["region", "nation", "orders"]), build_catalog([STAR]))
+
+
+CONSTRAINTS_SQL = """
+SELECT * FROM (VALUES ('region', 'not_null', 'r_regionkey', CAST(0 AS BIGINT)), ('region', 'not_null', 'r_name', 0), ('nation', 'not_null', 'n_nationkey', 0), ('nation', 'not_null', 'n_regionkey', 0),
+  ('orders', 'not_null', 'o_orderkey', 0), ('orders', 'not_null', 'o_custkey', 0)) AS t(relation, "constraint", columns, violations)
+UNION ALL SELECT 'region', 'primary_key', 'r_regionkey', count(*) - count(DISTINCT r_regionkey) FROM region
+UNION ALL SELECT 'nation', 'primary_key', 'n_nationkey', count(*) - count(DISTINCT n_nationkey) FROM nation
+UNION ALL SELECT 'nation', 'foreign_key', 'n_regionkey', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)
+UNION ALL SELECT 'orders', 'primary_key', 'o_orderkey', count(*) - count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'orders', 'unique', 'o_custkey', count(*) - count(DISTINCT o_custkey) FROM orders
+UNION ALL SELECT 'orders', 'enum', 'o_orderstatus', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT 'orders', 'check', 'dear', count(*) FROM orders WHERE NOT o_totalprice > 1000
+"""
+
+
+def facts_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the catalogue's own queries mention each of the driver's tables."""
+    from querywright.operators.facts import facts, table_usage
+
+    rows = [(f"{n}.sql", text) for n, (text, _) in CASES.items()]
+    return table_usage(facts(spark.createDataFrame(rows, "file string, text string")))
+
+
+USAGE = [("members", 16, 10), ("visits", 10, 8), ("membres", 1, 1), ("tokens", 2, 2), ("active_members", 3, 2)]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_lint, text) for n, (text, _) in CASES.items()} | {"lint_parse_error": lint_parse_error, "lint_catalog_columns": lint_catalog_columns, "lint_constraints": lint_constraints}
+    return {n: partial(_lint, text) for n, (text, _) in CASES.items()} | {"lint_parse_error": lint_parse_error, "lint_catalog_columns": lint_catalog_columns, "lint_constraints": lint_constraints, "check_constraints": check_constraints, "facts_usage": facts_usage}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -85,4 +125,6 @@ def oracle_sql() -> dict[str, str]:
     out["lint_catalog_columns"] = _values(rows, ["relation", "ordinal", "column", "sql_type", "nullable", "primary_key"], ["VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "BOOLEAN", "BOOLEAN"])
     found = [("members", "primary_key", "", "id", "", ""), ("visits", "primary_key", "", "id", "", ""), ("visits", "check", "fee_positive", "", "", "fee >= 0"), ("visits", "foreign_key", "visits_member", "member_id", "members", ""), ("tokens", "primary_key", "", "id", "", "")]
     out["lint_constraints"] = _values(found, ["relation", "type", "name", "columns", "ref_table", "text"], ["VARCHAR"] * 6)
+    out["check_constraints"] = CONSTRAINTS_SQL
+    out["facts_usage"] = _values(USAGE, ["relation", "statements", "files"], ["VARCHAR", "BIGINT", "BIGINT"])
     return out

@@ -72,6 +72,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "join_compound": "SELECT l.l_orderkey, l.l_linenumber, s.s_name FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_acctbal > 0 AND l.l_quantity > 40",
     "join_lateral": "SELECT c.c_custkey, x.o_orderkey, x.o_totalprice FROM customer c CROSS JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) x",
     "join_apply": ("SELECT c.c_custkey, x.best FROM customer c OUTER APPLY (SELECT max(o_totalprice) AS best FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P') x", "SELECT c.c_custkey, x.best FROM customer c LEFT JOIN LATERAL (SELECT max(o_totalprice) AS best FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P') x ON true"),
+    "join_asof_sql": ("SELECT n.n_nationkey, r.r_regionkey FROM nation n ASOF LEFT JOIN region r ON n.n_nationkey > r.r_regionkey * 3", "SELECT n.n_nationkey, (SELECT max(r.r_regionkey) FROM region r WHERE n.n_nationkey > r.r_regionkey * 3) AS r_regionkey FROM nation n"),
     "join_nway": f"SELECT r.r_name, n.n_name, {TOTAL} AS total FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY r.r_name, n.n_name",
     "join_null_anti": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' WHERE o.o_orderkey IS NULL",
     "join_nested": "SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN (nation n JOIN region r ON n.n_regionkey = r.r_regionkey) ON c.c_nationkey = n.n_nationkey",

@@ -238,13 +238,37 @@ class Printer:
             right.fields["lateral"] = True
             outer = kind.startswith("OUTER")
             return f"{self.table(left, beside)} {'LEFT' if outer else 'INNER'} JOIN {self.table(right, True)} ON true"
-        if kind == "ASOF":
-            raise SqlError("ASOF joins are DataFrame operators here: operators.temporal.asof_join")
+        if kind.startswith("ASOF"):
+            return self.asof(t, beside)
         text = f"{self.table(left, beside)} {'NATURAL ' if t.natural else ''}{kind} JOIN {self.table(right, True)}"
         if t.using:
             return text + f" USING {self.names(t.using)}"
         return text + (f" ON {self.expr(t.on)}" if t.on is not None else "")
 
+    def asof(self, t: Node, beside: bool) -> str:
+        """The nearest row of the right table by the one inequality; operators.temporal.asof_join does it by one sort."""
+        parts, tests = [t.on] if t.on is not None else [], []
+        while parts:
+            e = parts.pop()
+            if e.kind == "nested":
+                parts.append(e.kids[0])
+            elif e.kind == "binary" and e.op == "AND":
+                parts += e.kids
+            else:
+                tests.append(e)
+        match = t.match or next((e for e in tests if e.kind == "binary" and e.op in ("<", "<=", ">", ">=")), None)
+        if match is None or match.kind != "binary":
+            raise SqlError("an ASOF join needs an inequality")
+        right = t.right.alias or t.right.names[-1]
+        theirs, down = (match.kids[1], match.op[0] == ">") if any(x.kind == "column" and len(x.names) > 1 and x.names[0].text.lower() == right.text.lower() for x in match.kids[1].walk()) else (match.kids[0], match.op[0] == "<")
+        where = " AND ".join(self.expr(e) for e in [*([t.match] if t.match is not None else []), *tests]) or "true"
+        using = "".join(f" AND {self.table_name(t.left)}.{ident(c)} = {ident(right)}.{ident(c)}" for c in t.using or [])
+        inner = f"SELECT * FROM {self.table(t.right)} WHERE {where}{using} ORDER BY {self.expr(theirs)} {'DESC' if down else 'ASC'} LIMIT 1"
+        return f"{self.table(t.left, beside)} {'LEFT' if kind_left(t) else 'INNER'} JOIN LATERAL ({inner}) AS {ident(right)} ON true"
+
+    def table_name(self, t: Node) -> str:
+        return ident(t.alias or t.names[-1])
+
     # -- windows ---------------------------------------------------------------------------------------------------------
 
     def partition(self, w: Node) -> str:
@@ -608,6 +632,10 @@ class Printer:
         return f"timestamp_seconds({args[0]})" if len(args) == 1 and self.dialect == "postgresql" else None
 
 
+def kind_left(t: Node) -> bool:
+    return t.join == "ASOF LEFT"
+
+
 def similar(pattern: str) -> str:
     """A SIMILAR TO pattern as a regular expression."""
     out, i = [], 0
