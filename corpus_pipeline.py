@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywright.llm import bpe, langid, packing, pii, simhash, suffix
-from querywright.llm.common import stored, table
+from querywright.llm.common import spare, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.with_language(docs, model, to="_lang").filter("_lang <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    to = spare(docs, "_lang")
+    found = langid.with_language(docs, model, to=to).filter(F.col(to) != "und")
+    return found.withColumn("lang", F.coalesce("lang", to)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

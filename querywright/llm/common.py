@@ -75,6 +75,38 @@ def map_chunks(df: DataFrame, work: Callable, schema, limit: int = 4 << 20) -> D
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, used: list[str], work: Callable, out: dict[str, str], limit: int = 2 << 20) -> DataFrame:
+    """All rows and columns of `df`, with columns set (replaced or added) by `work`, which gets the values of the columns
+    `used` (the first a text) of whole rows that together hold about `limit` bytes of it. A narrow map: other columns pass
+    through as they are, and the work is done once however the columns are used later."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
+    made = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in out.items()))
+    fields = [made[f.name] if f.name in out else f for f in df.schema.fields]
+    schema = StructType(fields + [StructField(k, made[k].dataType) for k in out if k not in df.columns])
+    kinds, at, names = {k: to_arrow_type(made[k].dataType) for k in out}, [df.columns.index(u) for u in used], schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunk_rows(batch.column(at[0]), limit):
+                part = batch.slice(a, b - a)
+                new = work(*(part.column(i).to_pylist() for i in at))
+                columns = dict(zip(df_names, part.columns, strict=True)) | {k: pa.array(new[k], type=kinds[k]) for k in kinds}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    df_names = df.columns
+    return df.mapInArrow(run, schema)
+
+
+def spare(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def chunk_rows(col: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Like chunks(), from the lengths alone."""
     import pyarrow.compute as pc

@@ -19,14 +19,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import chunk_rows, chunks, map_chunks
+from querywright.llm.common import chunk_rows, map_chunks, with_columns
 
 BUCKETS = 1 << 15
 POWER = 0.5
@@ -189,14 +188,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def with_language(df: DataFrame, model: Model, text_col: str = "text", to: str = "lang_pred") -> DataFrame:
     """All columns and the predicted language."""
-    @F.pandas_udf("string")
-    def predict(texts: pd.Series) -> pd.Series:
-        rows = [None if x is None or x != x else x for x in texts]
-        return pd.Series([m[0][0] if m else "und" for a, b in chunks(rows, 2 << 20) for m in model.mixtures(rows[a:b])], dtype=object)
-
-    return df.withColumn(to, predict(F.col(text_col)))
+    return with_columns(df, [text_col], lambda texts: {to: [m[0][0] if m else "und" for m in model.mixtures(texts)]}, {to: "string"})
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model may learn from."""
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

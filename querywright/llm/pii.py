@@ -15,12 +15,11 @@ import bisect
 import hashlib
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import map_chunks
+from querywright.llm.common import map_chunks, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -266,8 +265,4 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns, the text with its personal data replaced."""
-    @F.pandas_udf("string")
-    def clean(s: pd.Series) -> pd.Series:
-        return s.map(redacted, na_action="ignore")
-
-    return df.withColumn(text_col, clean(F.col(text_col)))
+    return with_columns(df, [text_col], lambda texts: {text_col: [redacted(t) for t in texts]}, {text_col: "string"})

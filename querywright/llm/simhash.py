@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import cut, map_chunks, stored
+from querywright.llm.common import cut, map_chunks, spare, stored
 
 SEED = 42
 STEP_BITS = 8
@@ -285,7 +285,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     roots = components(fingerprint_edges(distinct.select("fp"), max_bits, node_rows))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    # Stored before it is joined, so that Spark can split the partition of a text that very many documents share.
+    named = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -293,78 +294,80 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-BANDS, BAND_ROWS, SKETCH = 16, 4, 256
+BANDS, BAND_ROWS = 16, 4
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def samples(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """Fingerprints of BANDS small samples of a shingle set, and its bottom sketch. A sample is the BAND_ROWS shingles that
-    come first under as many orders, so similar sets draw equal samples often."""
+def samples(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of BANDS small samples of a shingle set. A sample is the BAND_ROWS shingles that come first under as
+    many orders, so similar sets draw equal samples often: at a similarity of 0.8, one of them in 99.98 % of all cases."""
     distinct = np.unique(hashes)
     if not len(distinct):
-        return [], b""
+        return []
     least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(distinct), 4096):
         x = distinct[i : i + 4096, None] * _MULTIPLIERS[None, :]
         np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(least[i * BAND_ROWS : (i + 1) * BAND_ROWS].tobytes(), i) for i in range(BANDS)]
-    short = np.unique((distinct >> np.uint64(32)).astype("<u4"))[:SKETCH]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist(), short.tobytes()
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets from their bottom sketches: exact up to SKETCH members, else estimated from the
-    SKETCH smallest of the union."""
-    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)
-    if max(len(x), len(y)) == SKETCH:
-        union = union[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(x, y), union)) / len(union)
+def similarity_of(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets, given as sorted hashes without repeats."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, max_bits: int = 2, node_rows: int = 1 << 16) -> DataFrame:
     """Per row: doc_id, component_id. Links documents whose fingerprints differ in at most `max_bits` bits (all of them, by
-    the index), and documents whose shingle sets have at least `similarity`: a document is compared with the smallest one
-    of each of its sample fingerprints, so no group is paired off, however large."""
+    the index), and documents whose shingle sets have at least `similarity`: a document is compared, exactly, with the
+    smallest and the largest (by fingerprint) of each of its samples, so no group is paired off, however large."""
     kind = dict(df.dtypes)[id_col]
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def work(ids: list, texts: list) -> dict:
         hashes = [shingle_hashes(t, ngram) for t in texts]
-        made = [samples(h) for h in hashes]
         fps = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
-        return {"doc_id": ids, "fp": fps.view(np.int64), "bands": [b for b, _ in made], "sketch": [s for _, s in made]}
+        return {"doc_id": ids, "fp": fps.view(np.int64), "bands": [samples(h) for h in hashes]}
 
-    rows = map_chunks(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work, StructType.fromDDL(f"doc_id {kind}, fp long, bands array<long>, sketch binary"))
-    rows = stored(rows, "sketches")
+    rows = stored(map_chunks(texts, work, StructType.fromDDL(f"doc_id {kind}, fp long, bands array<long>")), "samples")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(fingerprint_edges(distinct.select("fp"), max_bits, node_rows))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    # From here a node is a group of fingerprints; similarity links join groups.
-    placed = rows.select("fp", F.explode("bands").alias("band")).distinct().join(rooted, "fp").select("root", "fp", "band")
-    hubs = placed.groupBy("band").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
-    pairs = placed.join(hubs, "band").filter("fp <> hub").select("fp", "hub").distinct()
-    sketches = rows.groupBy("fp").agg(F.min("sketch").alias("sketch"))
+    # One row for each fingerprint and sample, however many copies there are; then those whose sample others have too.
+    placed = rows.select("fp", F.explode("bands").alias("band")).groupBy("fp", "band").agg(F.lit(1).alias("x")).select("fp", "band")
+    hubs = stored(placed.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("band", F.explode(F.array("low", "high")).alias("hub")), "hubs")
+    pairs = stored(placed.join(hubs, "band").filter("fp <> hub").select("fp", "hub").distinct(), "pairs")
+    needed = pairs.select("fp").unionAll(pairs.select("hub")).distinct().join(distinct, "fp").select("rep").distinct()
+
+    def shingles(ids: list, texts: list) -> dict:
+        hashes = [shingle_hashes(t, ngram) for t in texts]
+        fps = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
+        return {"fp": fps.view(np.int64), "shingles": [np.unique(h).astype("<u8").tobytes() for h in hashes]}
+
+    wanted = texts.join(stored(needed, "needed"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = stored(map_chunks(wanted, shingles, StructType.fromDDL("fp long, shingles binary")).groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sketch_similarity(x, y) >= similarity for x, y in zip(a, b, strict=True)])
+        return pd.Series([similarity_of(x, y) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    both = pairs.join(sketches, "fp").withColumnRenamed("sketch", "a").join(sketches.select(F.col("fp").alias("hub"), F.col("sketch").alias("b")), "hub")
+    both = pairs.join(sets.withColumnRenamed("shingles", "a"), "fp").join(sets.select(F.col("fp").alias("hub"), F.col("shingles").alias("b")), "hub")
     close = both.filter(alike("a", "b")).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b"))
-    groups = rooted.filter("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
-    final = components(close.unionAll(groups))
+    near = fingerprint_edges(distinct.select("fp"), max_bits, node_rows)
+    final = components(near.unionAll(close))
     named = distinct.join(final, distinct["fp"] == final["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    # Stored before it is joined, so that Spark can split the partition of a text that very many documents share.
+    by_print = stored(named.join(least, "root").select("fp", "component_id"), "components")
+    return rows.select("doc_id", "fp").join(by_print, "fp").select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns; of each group of near duplicates the row with the smallest (id, hash of the text) stays, once."""
+    th, left, right = spare(df, "_th"), spare(df, "_left"), spare(df, "_right")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"))
     groups = similar_groups(df.select(key.alias("doc_id"), F.col(text_col).alias("text")), **options)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.th").alias("_th2")).distinct()
-    keyed = df.withColumn("_th", F.xxhash64(F.col(text_col)))
-    kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_id"]) & (keyed["_th"] == keep["_th2"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_th"]).select(*df.columns)
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id.id").alias(left), F.col("doc_id.th").alias(right)).distinct()
+    keyed = df.withColumn(th, F.xxhash64(F.col(text_col)))
+    kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep[left]) & (keyed[th] == keep[right]), "left_semi")
+    return kept.dropDuplicates([id_col, th]).select(*df.columns)
