@@ -70,7 +70,7 @@ def _limits(ids: DataFrame, rows: int, shard_rows: int) -> list[int]:
     if shards < 2:
         return []
     every = max(1, rows // (shards * 16))
-    drawn = sorted(r[0] for r in ids.filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").distinct().collect())
+    drawn = sorted(r[0] for r in ids.filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").na.drop().distinct().collect())
     return [drawn[len(drawn) * i // shards] for i in range(1, shards)] if len(drawn) >= shards else drawn
 
 
