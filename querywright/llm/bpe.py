@@ -38,8 +38,10 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: The same for texts of plain characters only, where the two engines agree; see _ODD.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _ODD = re.compile(r"[^\n\r\t -~À-ÖØ-öø-ʯ]")
-MEMO = 400_000
+MEMO = 300_000
 LONG = 48
+NONE = np.int32(2**31 - 1)
+_HASH = np.int64(0x1E3779B97F4A7C15)
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,26 +59,28 @@ class Vocabulary:
             spec = json.load(f)
         letters = byte_letters()
         back = lambda x: bytes(letters[c] for c in x)
-        self.bytes_of: dict[int, bytes] = {i: back(t) for t, i in spec["model"]["vocab"].items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
+        bytes_of: dict[int, bytes] = {i: back(t) for t, i in spec["model"]["vocab"].items()}
+        id_of = {b: i for i, b in bytes_of.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
-        size = max(self.bytes_of) + 1
-        self.pieces = [self.bytes_of.get(i, b"") for i in range(size)]
-        self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)], dtype=np.int64)
+        bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        size = max(bytes_of) + 1
+        self.pieces = [bytes_of.get(i, b"") for i in range(size)]
+        self.byte_ids = np.array([id_of[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [tuple(map(back, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
         self.width = size
-        keys = np.array([self.id_of[a] * size + self.id_of[b] for a, b in merges], dtype=np.int64)
-        made = np.array([self.id_of[a + b] for a, b in merges], dtype=np.int64)
-        self.rank = {int(k): (r, int(m)) for r, (k, m) in enumerate(zip(keys, made, strict=True))}
-        order = np.argsort(keys)
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        keys = np.array([id_of[a] * size + id_of[b] for a, b in merges], dtype=np.int64)
+        made = np.array([id_of[a + b] for a, b in merges], dtype=np.int64)
+        self._rank: dict[int, tuple[int, int]] = {}
+        self.keys, self.ranks, self.by_rank = keys, np.arange(len(keys)), made.astype(np.int32)
+        self._fill_slots()
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
     def merge_long(self, word: bytes) -> list[int]:
         """Exact merging of one word in O(n log n): a heap of pairs over a linked list."""
         ids = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
-        n, size, rank = len(ids), self.width, self.rank
+        if not self._rank:
+            self._rank = {k: (r, m) for r, (k, m) in enumerate(zip(self.keys.tolist(), self.by_rank.tolist(), strict=True))}
+        n, size, rank = len(ids), self.width, self._rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
@@ -100,65 +104,95 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of many words at once: in each round every word merges its first pair of the lowest rank."""
+        """Exact merging of many words."""
         out: list[list[int]] = [[]] * len(words)
+        for index, count, flat in self.merge_packed(words):
+            ids, ends = flat.tolist(), np.cumsum(count).tolist()
+            for i, a, b in zip(index.tolist(), [0, *ends], ends, strict=False):
+                out[i] = ids[a:b]
+        return out
+
+    def merge_packed(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same as (word numbers, numbers of ids, their ids one after another) of some words at a time."""
         short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.merge_long(w)
+        if len(short) < len(words):
+            for i, w in enumerate(words):
+                if len(w) > LONG:
+                    ids = self.merge_long(w)
+                    yield np.array([i]), np.array([len(ids)]), np.array(ids, dtype=np.uint32)
         short.sort(key=lambda i: len(words[i]))
         for lo in range(0, len(short), 8192):
-            group = short[lo : lo + 8192]
-            for i, ids in zip(group, self._merge_table([words[i] for i in group]), strict=True):
-                out[i] = ids
-        return out
+            group = np.array(short[lo : lo + 8192])
+            for rows, count, flat in self._merge_table([words[i] for i in group.tolist()]):
+                yield group[rows], count, flat
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Position in self.keys of each pair, or -1."""
-        key = a * self.width + b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), at, -1)
-
-    def _merge_table(self, words: list[bytes]) -> list[list[int]]:
-        size = np.array([len(w) for w in words])
-        rows, width = len(words), int(size.max())
-        ids = np.full((rows, width + 1), -1, dtype=np.int64)
-        mask = np.arange(width + 1) < size[:, None]
-        ids[mask] = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        none = np.int64(1 << 40)
-        at = self._ranks(ids[:, :-1], ids[:, 1:])
-        rank = np.where(at >= 0, self.ranks[at], none)
-        done: list[list[int]] = [[]] * rows
-        where = np.arange(rows)
-        left = size.copy()
+        """Rank of each pair, or NONE, from a hash table with linear probing."""
+        key = a.astype(np.int64) * self.width + b
+        at = (key * _HASH) >> self._shift & self._mask
+        found = self._slot_key[at]
+        out = np.where(found == key, self._slot_rank[at], NONE)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self._mask
+            found = self._slot_key[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self._slot_rank[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def _fill_slots(self) -> None:
+        bits = max(4, int(len(self.keys) * 8).bit_length())
+        self._mask, self._shift = np.int64((1 << bits) - 1), np.int64(62 - bits)
+        self._slot_key = np.full(1 << bits, -1, dtype=np.int64)
+        self._slot_rank = np.full(1 << bits, NONE, dtype=np.int32)
+        slots, ranks = self._slot_key, self._slot_rank
+        with np.errstate(over="ignore"):
+            places = ((self.keys * _HASH) >> self._shift & self._mask).tolist()
+        for p, k, r in zip(places, self.keys.tolist(), self.ranks.tolist(), strict=True):
+            while slots[p] >= 0:
+                p = p + 1 & int(self._mask)
+            slots[p], ranks[p] = k, r
+
+    def _merge_table(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of some length as rows of a table: in each round every row merges its first pair of the lowest rank, so
+        the table gets one column narrower; rows without such a pair leave."""
+        left = np.array([len(w) for w in words])
+        width = int(left.max())
+        ids = np.zeros((len(words), width), dtype=np.int32)
+        ids[np.arange(width) < left[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        rank = np.full((len(words), width), NONE, dtype=np.int32)  # of the pair that begins at each place
+        inside = np.arange(width) < left[:, None] - 1
+        first, second = ids[:, :-1], ids[:, 1:]
+        rank[inside] = self._ranks(first[inside[:, :-1]], second[inside[:, :-1]])
+        where = np.arange(len(words))
         while len(where):
             best = rank.argmin(axis=1)
             r = np.arange(len(where))
-            live = rank[r, best] < none
+            lowest = rank[r, best]
+            live = lowest < NONE
             if not live.all():
-                for i in np.flatnonzero(~live):
-                    done[where[i]] = ids[i, : left[i]].tolist()
-                ids, rank, where, left, best = ids[live], rank[live], where[live], left[live], best[live]
+                gone = ~live
+                inside = np.arange(ids.shape[1]) < left[gone, None]
+                yield where[gone], left[gone], ids[gone][inside].astype(np.uint32)
+                ids, rank, where, left, best, lowest = ids[live], rank[live], where[live], left[live], best[live], lowest[live]
                 if not len(where):
-                    break
+                    return
                 r = np.arange(len(where))
-            a = ids[r, best]
-            made = self.made[np.searchsorted(self.keys, a * self.width + ids[r, best + 1])]
-            col = np.arange(ids.shape[1])
-            take = np.minimum(col[None, :] + (col[None, :] > best[:, None]), ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, take, axis=1)
-            ids[:, -1] = -1
+            made = self.by_rank[lowest]
+            rows, width = ids.shape
+            keep = np.ones((rows, width), dtype=bool)
+            keep[r, best + 1] = False
+            ids = ids[keep].reshape(rows, width - 1)
             ids[r, best] = made
-            rank = np.take_along_axis(rank, take[:, :-1].clip(max=rank.shape[1] - 1), axis=1)
-            rank[:, -1] = none
-            left -= 1
-            at = self._ranks(made, ids[r, best + 1])
-            rank[r, best] = np.where(at >= 0, self.ranks[at], none)
-            prev = np.maximum(best - 1, 0)
-            at = self._ranks(ids[r, prev], made)
-            rank[r, prev] = np.where(best > 0, np.where(at >= 0, self.ranks[at], none), rank[r, prev])
-        return done
+            keep[r, best + 1] = True
+            keep[r, best] = False  # the pair goes; the one behind it, now at its place, gets a new rank
+            rank = rank[keep].reshape(rows, width - 1)
+            left = left - 1
+            after = np.minimum(best + 1, width - 2)
+            rank[r, best] = np.where(best + 1 < left, self._ranks(made, ids[r, after]), NONE)
+            before = np.maximum(best - 1, 0)
+            rank[r, before] = np.where(best > 0, self._ranks(ids[r, before], made), rank[r, before])
 
 
 def pretokens(text: str) -> list[str]:
@@ -300,15 +334,21 @@ class Encoder:
         if not new:
             return
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        rest = range(len(new))
+        rest = None
         if self.lexicon is not None:
             at = self.lexicon.lookup(raw)
             ids, offset = self.lexicon.ids, self.lexicon.offset
-            for i in np.flatnonzero(at >= 0).tolist():
-                memo[new[i]] = ids[offset[at[i]] : offset[at[i] + 1]].tobytes()
+            known = np.flatnonzero(at >= 0)
+            data, first, last = ids.tobytes(), 4 * offset[at[known]], 4 * offset[at[known] + 1]
+            for i, a, b in zip(known.tolist(), first.tolist(), last.tolist(), strict=True):
+                memo[new[i]] = data[a:b]
             rest = np.flatnonzero(at < 0).tolist()
-        for i, got in zip(rest, self.vocabulary.merge([raw[i] for i in rest]), strict=True):
-            memo[new[i]] = np.array(got, dtype="<u4").tobytes()
+        if rest is not None:
+            new, raw = [new[i] for i in rest], [raw[i] for i in rest]
+        for index, count, flat in self.vocabulary.merge_packed(raw):
+            data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+            for i, a, b in zip(index.tolist(), [0, *ends], ends, strict=False):
+                memo[new[i]] = data[a:b]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers."""
