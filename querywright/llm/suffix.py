@@ -10,7 +10,8 @@ A byte is removed if a string of `length` bytes (a window) covers it that also s
    more than `bucket` contexts. A task sorts all suffixes of its contexts with the difference cover {1, 2} mod 3: it sorts
    the sampled triples and names them, recurses on the names while they are not unique, sorts the remaining suffixes by
    their first symbol and the rank behind it, and merges. Neighbours in the order whose first `length` bytes agree repeat.
-3. Merging across salts. Windows of a salted mark send a 128-bit name of their prefix; names from two salts repeat.
+3. Merging across salts. Windows of a salted mark that do not repeat in their salt send a 128-bit name of their prefix, and
+   each salt sends the names that do repeat in it, once; names that come twice repeat.
 4. The removed ranges meet their document by its id and a hash of its text, and the remaining bytes are digested.
 
 No task holds more than a bucket or a document, equal contexts are counted by partial aggregates, and rows are 5 numbers.
@@ -24,14 +25,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import chunk_rows, stored
+from querywright.llm.common import chunk_rows, spare, stored, with_columns
 
 LENGTH, GRAM, BUCKET = 200, 40, 2048
 SEGMENT = 1 << 21
@@ -223,14 +223,20 @@ def _sort_task(length: int, kind: pa.DataType, limit: int = 1 << 20):
         def out(rows: list[tuple]) -> pa.RecordBatch:
             found: list[tuple] = []
             hits = repeated_windows([r[7] for r in rows], [r[6] & ((1 << WIN_BITS) - 1) for r in rows], length)
-            for (_, _, n, salted, i, th, pos, data), hit in zip(rows, hits, strict=True):
+            names: set = set()
+            for (m, salt, n, salted, i, th, pos, data), hit in zip(rows, hits, strict=True):
                 pos >>= WIN_BITS
                 if n == 1:
                     found += [(i, th, a, b, None, None, None) for a, b in _spans(hit, pos, length)]
                 if salted:
                     for k, twice in enumerate(hit.tolist()):
                         name = xxhash.xxh3_128_digest(data[k : k + length])
-                        found.append((i, th, pos + k, pos + k + length, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), n > 1 or twice))
+                        pair = int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)
+                        if n == 1 and not twice:
+                            found.append((i, th, pos + k, pos + k + length, *pair, False))
+                        elif (m, salt, name) not in names:  # known to repeat: its name alone, once, for the other salts
+                            names.add((m, salt, name))
+                            found.append((None, None, None, None, *pair, True))
             cols = list(zip(*found, strict=True)) or [[]] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -257,14 +263,15 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     runs = docs.mapInArrow(_runs_task(length, gram), StructType.fromDDL(f"m long, c long, doc_id {kind}, th long, pos long"))
     runs = stored(runs, "runs")
-    marks = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
+    # Tables that are joined are stored first: a join of plain tables is one whose hot keys Spark splits.
+    marks = stored(runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"), "marks")
     runs = stored(runs.join(marks, "m", "left_semi"), "marked-runs")
     contexts = stored(runs.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("one")), "contexts")
     whole = runs.join(contexts.filter("n > 1").select("m", "c"), ["m", "c"], "left_semi")
     place, windows = F.shiftright("pos", WIN_BITS), F.col("pos").bitwiseAND(F.lit((1 << WIN_BITS) - 1))
     whole = whole.select("doc_id", "th", place.alias("begin"), (place + windows + (length - 1)).alias("end"))
     # Marks with different contexts, at least one of which is not known to repeat yet.
-    mixed = contexts.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("m", "k")
+    mixed = stored(contexts.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("m", "k"), "mixed")
     salts = F.ceil(F.col("k") / F.lit(bucket)).cast("long")
     wanted = contexts.join(mixed, "m").select("one.doc_id", "one.th", F.struct("m", F.pmod(F.col("c"), salts).alias("salt"), F.col("n"), (salts > 1).alias("salted"), "one.pos").alias("w"))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("ws")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
@@ -296,7 +303,7 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = sorted_out.filter("hi is null").select("doc_id", "th", "begin", "end")
     names = sorted_out.filter("hi is not null")
     twice = names.groupBy("hi", "lo").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("int"))).alias("n")).filter("n > 1").select("hi", "lo")
-    across = names.join(twice, ["hi", "lo"], "left_semi").select("doc_id", "th", "begin", "end")
+    across = names.filter("not twice").join(twice, ["hi", "lo"], "left_semi").select("doc_id", "th", "begin", "end")
     return whole.unionAll(found).unionAll(across)
 
 
@@ -310,18 +317,19 @@ def _merged(spans: list, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str, length: int, **options) -> DataFrame:
-    """All columns of `df` and spans, the repeated ranges of the row's text."""
+def _with_spans(df: DataFrame, id_col: str, text_col: str, to: str, length: int, **options) -> DataFrame:
+    """All columns of `df` and the repeated ranges of the row's text."""
     ranges = repeated_ranges(df, id_col, text_col, length, **options)
-    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "th": "_lth"})
-    keyed = df.withColumn("_th", F.xxhash64(F.col(text_col)))
-    return keyed.join(lists, keyed[id_col].eqNullSafe(lists["_id"]) & (keyed["_th"] == lists["_lth"]), "left").drop("_id", "_th", "_lth")
+    th, left, right = spare(df, "_th"), spare(df, "_left"), spare(df, "_right")
+    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias(to)).withColumnsRenamed({"doc_id": left, "th": right})
+    keyed = df.withColumn(th, F.xxhash64(F.col(text_col)))
+    return keyed.join(lists, keyed[id_col].eqNullSafe(lists[left]) & (keyed[th] == lists[right]), "left").drop(left, th, right)
 
 
 def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     kind = dict(df.dtypes)[id_col]
-    rows = _with_spans(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", length, **options).select("doc_id", "text", "_spans")
+    rows = _with_spans(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", "_spans", length, **options).select("doc_id", "text", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,15 +352,16 @@ def kept_bytes(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """All columns of `df`, the text without its repeated passages. A character that a range cuts in two goes as a whole."""
-    @F.pandas_udf("string")
-    def keep(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t, s):
-            if s is None or t is None:
-                return t
-            raw = t.encode("utf-8", "surrogatepass")
-            return kept_bytes(raw, _merged(list(s), len(raw))).decode("utf-8", "ignore")
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    rows = _with_spans(df, id_col, text_col, length, **options)
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(keep(F.col(text_col), F.col("_spans")))).select(*df.columns)
+    spans = spare(df, "_spans")
+
+    def keep(texts: list, found: list) -> dict:
+        out = []
+        for t, s in zip(texts, found, strict=True):
+            if t is not None and s is not None:
+                raw = t.encode("utf-8", "surrogatepass")
+                t = kept_bytes(raw, _merged(s, len(raw))).decode("utf-8", "ignore")
+            out.append(t)
+        return {text_col: out}
+
+    rows = _with_spans(df, id_col, text_col, spans, length, **options)
+    return with_columns(rows, [text_col, spans], keep, {text_col: "string"}).select(*df.columns)
