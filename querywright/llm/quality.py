@@ -14,6 +14,9 @@ give repeated results. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +32,28 @@ BOILERPLATE = (
 )
 
 
-def _deleted(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def hints(text: Column) -> Column:
+    """What a whole text must hold for some rules to be worth asking of its lines."""
+    low = F.lower(text)
+    has = lambda phrases, t: reduce(or_, [F.contains(t, F.lit(p)) for p in phrases])
+    return F.struct(
+        text.rlike(f"[{SYMBOLS}]").alias("symbols"),
+        has("»›", text).alias("arrows"),
+        F.contains(text, F.lit("!!")).alias("shouts"),
+        has(BOILERPLATE, low).alias("boiler"),
+    )
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one line is navigation, symbol noise, shouting, boilerplate, or long with no punctuation at all."""
+def line_fails(line: Column, hint: Column) -> Column:
+    """Whether one line is navigation, symbol noise, shouting, boilerplate, or long with no punctuation at all. hint: what
+    its text holds; rules that cannot apply are not asked."""
     count = lambda x: (F.length(line) - F.length(F.replace(line, F.lit(x)))) / len(x)
-    solid = F.length(F.translate(line, " \t\x0b\x0c\r", ""))
-    navigation = (_deleted(line, "|") >= 4) | (_deleted(line, "»›") >= 3)
-    noise = _deleted(line, SYMBOLS) * 10 > solid
+    symbols = (count("|") >= 4) | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 10 > F.length(F.translate(line, " \t\x0b\x0c\r", "")))
+    arrows = count("»") + count("›") >= 3
     shouting = (count("!!") >= 3) & (F.length(F.regexp_replace(line, r"\p{Lu}+", "")) * 2 < F.length(line))
     boiler = F.lower(line).rlike("|".join(x.replace("(", "\\(").replace(")", "\\)") for x in BOILERPLATE))
     unpunctuated = ~line.rlike(r"[.,;:!?…。！？]") & (F.size(F.array_remove(F.split(line, f"{BLANK}+"), "")) >= 25)
-    return (solid > 0) & (navigation | noise | shouting | boiler | unpunctuated)
+    return (hint.symbols & symbols) | (hint.arrows & arrows) | (hint.shouts & shouting) | (hint.boiler & boiler) | unpunctuated
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.5, min_words: int = 50) -> DataFrame:
@@ -50,7 +61,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cleaned (the text without its failing lines)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
-    split = base.select("doc_id", "_t", F.array_remove(F.split("_t", f"{BLANK}+"), "").alias("_w"), F.split("_t", "\n").alias("_l"))
+    split = base.select("doc_id", "_t", hints(F.col("_t")).alias("_h"), F.array_remove(F.split("_t", f"{BLANK}+"), "").alias("_w"), F.split("_t", "\n").alias("_l"))
     n = F.size("_w")
     mask = (1 << POSITION_BITS) - 1
 
@@ -59,7 +70,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
 
     keys = F.when(n >= 3, F.sort_array(F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(1))), packed)))
-    keyed = split.select("doc_id", "_t", "_w", "_l", keys.alias("_k"))
+    keyed = split.select("doc_id", "_t", "_h", "_w", "_l", keys.alias("_k"))
 
     def near(x: Column, i: Column) -> Column:
         same = lambda j: F.shiftright(F.get("_k", j), POSITION_BITS) == F.shiftright(x, POSITION_BITS)
@@ -69,7 +80,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         i = x.bitwiseAND(F.lit(mask)).cast("int")
         return F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b"), F.get("_w", i + 2).alias("c"), i.alias("i"))
 
-    maybe = keyed.select("doc_id", "_t", "_w", "_l", F.sort_array(F.transform(F.filter("_k", near), window)).alias("_e"))
+    maybe = keyed.select("doc_id", "_t", "_h", "_w", "_l", F.sort_array(F.transform(F.filter("_k", near), window)).alias("_e"))
 
     def twice(x: Column, i: Column) -> Column:
         def same(j: Column) -> Column:
@@ -78,18 +89,18 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return same(i - 1) | same(i + 1)
 
-    places = maybe.select("doc_id", "_t", "_w", "_l", F.sort_array(F.transform(F.filter("_e", twice), lambda x: x.i)).alias("_q"))
+    places = maybe.select("doc_id", "_t", "_h", "_w", "_l", F.sort_array(F.transform(F.filter("_e", twice), lambda x: x.i)).alias("_q"))
     gaps = F.transform("_q", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_q", i + 1) - x, F.lit(3))).cast("long"))
     covered = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
     solid = F.filter("_l", lambda x: x.rlike(WORD))
     counted = places.select(
         "doc_id", "_t",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        _deleted(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         solid.alias("_s"),
         covered.alias("n_repeat_words"),
-        F.filter("_l", lambda x: ~line_fails(x)).alias("_good"),
+        F.filter("_l", lambda x: ~line_fails(x, F.col("_h"))).alias("_good"),
         F.size("_l").alias("_lines"),
     )
     last = counted.select(
@@ -100,5 +111,6 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_join("_good", "\n").alias("cleaned"),
         (F.col("_lines") - F.size("_good")).cast("long").alias("n_lines_removed"),
     )
-    enough = F.length(F.translate("cleaned", " \t\n\x0b\x0c\r", "")) >= (1 - max_loss) * F.col("word_chars")
+    rest = F.length(F.translate("cleaned", " \t\n\x0b\x0c\r", ""))
+    enough = (F.col("n_lines_removed") == 0) | (rest >= (1 - max_loss) * F.col("word_chars"))
     return last.withColumn("kept", ~F.col("base_failed") & enough).drop("_t")
