@@ -140,6 +140,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "series_int": "SELECT CAST(g.i AS BIGINT) AS i FROM generate_series(1, 10) AS g(i)",
     "series_date": ("SELECT CAST(d AS date) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-01-10', INTERVAL '1' DAY) AS g(d)", "SELECT CAST(d AS date) AS d FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', INTERVAL 1 DAY) AS g(d)"),
     "unnest_ordinality": ("SELECT n.n_nationkey, u.x, CAST(u.i AS BIGINT) AS i FROM nation n, unnest(ARRAY[n.n_name, 'end']) WITH ORDINALITY AS u(x, i)", "SELECT n_nationkey, n_name AS x, CAST(1 AS BIGINT) AS i FROM nation UNION ALL SELECT n_nationkey, 'end', 2 FROM nation"),
+    "pivot": "SELECT * FROM (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders) PIVOT (max(o_totalprice) FOR o_orderstatus IN ('F', 'O'))",
+    "unpivot": "SELECT n_nationkey, field, v FROM (SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR(9)) AS region FROM nation) UNPIVOT (v FOR field IN (n_name, region))",
     "derived_table": f"SELECT d.o_custkey, d.total FROM (SELECT o_custkey, {TOTAL} AS total FROM orders GROUP BY o_custkey) AS d WHERE d.total > 300000",
 }
 

@@ -209,6 +209,8 @@ class Printer:
             q = t.query
             inner = self.query(q)
             return self.aliased(f"{'LATERAL ' if t.lateral else ''}({inner})", t)
+        if t.kind == "pivot":
+            return self.aliased(f"{self.table(t.table, beside)} {t.word} {t.text}", t)
         if t.kind == "function":
             return self.table_function(t, beside)
         return self.join(t, beside)
