@@ -31,6 +31,9 @@ CASES: dict[str, tuple[str, list[tuple]]] = {
     "lint_join_type": ("SELECT v.id FROM visits v JOIN tokens t ON v.member_id = t.id", [("E0007", "error", 1, 44, 11, "JOIN condition type mismatch: integer vs uuid", "JOIN condition should compare compatible types. Consider using explicit CAST.")]),
     "lint_suppression": ("SELECT nope FROM members; -- check:disable E0002\n-- check:disable\nSELECT nada FROM members;\nSELECT zilch FROM members -- check:disable E0001", [("E0002", "error", 4, 8, 5, "Column 'zilch' not found", None)]),
     "lint_setop": ("SELECT id, name FROM members UNION SELECT id FROM visits;\nSELECT name FROM members EXCEPT SELECT fee FROM visits", [("E0003", "error", 1, 36, 6, "Set operation column count mismatch: left has 2, right has 1", "UNION/INTERSECT/EXCEPT requires both sides to have the same number of columns."), ("E0003", "error", 2, 33, 6, "Set operation type mismatch at column 1: varchar(80) vs numeric(8,2)", "Corresponding columns in UNION/INTERSECT/EXCEPT should be type-compatible.")]),
+    "lint_suggestion": ("SELECT emial, m.joind FROM members m", [("E0002", "error", 1, 8, 5, "Column 'emial' not found", "Did you mean 'email'?"), ("E0002", "error", 1, 17, 5, "Column 'joind' not found in table 'members'", "Did you mean 'joined'?")]),
+    "lint_dml_columns": ("INSERT INTO members (name, emial) VALUES ('a', 'b');\nUPDATE visits SET fe = 1, note = 'x'", [("E0002", "error", 1, 28, 5, "Column 'emial' not found in table 'members'", "Did you mean 'email'?"), ("E0002", "error", 2, 19, 2, "Column 'fe' not found in table 'visits'", "Did you mean 'fee'?")]),
+    "lint_dml_types": ("INSERT INTO tokens (id, active) VALUES (1, true);\nUPDATE visits SET fee = 'x' WHERE id = 1", [("E0003", "error", 1, 41, 1, "Type mismatch: column 'id' expects uuid, but got integer", "Value type is not compatible with the column type. Consider using explicit CAST."), ("E0003", "error", 2, 25, 3, "Type mismatch: column 'fee' expects numeric(8,2), but got text", "Value type is not compatible with the column type. Consider using explicit CAST.")]),
     "lint_scopes": ("WITH w AS (SELECT id AS k FROM members) SELECT w.id FROM w;\nSELECT s.fee FROM (SELECT note FROM visits) s;\nSELECT a.email FROM active_members a;\nSELECT m.id FROM members m WHERE EXISTS (SELECT 1 FROM visits v WHERE v.member_id = m.id AND v.nothing = 1)", [("E0002", "error", 1, 50, 2, "Column 'id' not found in CTE 'w'", None), ("E0002", "error", 2, 10, 3, "Column 'fee' not found in subquery 's'", None), ("E0002", "error", 3, 10, 5, "Column 'email' not found in view 'active_members'", None), ("E0002", "error", 4, 96, 7, "Column 'nothing' not found in table 'visits'", None)]),
     "lint_clean": ("SELECT m.name, count(*) AS n, sum(v.fee) FROM members m LEFT JOIN visits v ON v.member_id = m.id GROUP BY m.name HAVING count(*) > 1 ORDER BY n DESC;\nSELECT * FROM members NATURAL JOIN active_members;\nSELECT id FROM members JOIN active_members USING (id)", []),
 }
@@ -104,7 +107,7 @@ def facts_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_usage(facts(spark.createDataFrame(rows, "file string, text string")))
 
 
-USAGE = [("members", 16, 10), ("visits", 10, 8), ("membres", 1, 1), ("tokens", 2, 2), ("active_members", 3, 2)]
+USAGE = [("members", 18, 12), ("visits", 12, 10), ("membres", 1, 1), ("tokens", 3, 3), ("active_members", 3, 2)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
