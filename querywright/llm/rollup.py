@@ -81,8 +81,9 @@ def corpus_rollup(df: DataFrame, vocabulary: str, path: str) -> DataFrame:
 
     spark = df.sparkSession
     counts = stored(token_counts(df, vocabulary), "token-counts")
-    first = counts.groupBy("th").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "th").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    # Stored before it is joined, so that Spark can split the partition of a text that very many documents share.
+    first = stored(counts.groupBy("th").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first-copies")
+    copies = counts.join(first, "th", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     none = F.lit(None).cast("long")
 
     def changes(rows: DataFrame, op: str, tokenizer: str, n, old=none) -> DataFrame:
