@@ -35,9 +35,10 @@ from pyspark.sql.types import StructType
 from querywright.llm.common import chunk_rows, map_chunks, stored
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for texts of plain characters only, where the two engines agree; see _ODD.
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = re.compile(r"[^\n\r\t -~À-ÖØ-öø-ʯ]")
+#: The same for texts of plain characters only (see _ODD), where letters are these ranges.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_ODD = re.compile(rf"[^\n\r\t -~{_LETTERS}]")
 MEMO = 300_000
 LONG = 48
 NONE = np.int32(2**31 - 1)
@@ -322,15 +323,16 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self._memo: dict[str, bytes] = {}
-        self.names = [str(i) for i in range(self.vocabulary.width)]
+        self._pieces = _strings(self.vocabulary.pieces)
+        self._names = _strings([b"%d," % i for i in range(self.vocabulary.width)])
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Ids (as little-endian 32-bit bytes) of unseen words, from the lexicon or by merging."""
         memo = self._memo
-        new = list(set(words).difference(memo))
+        new = list(words.difference(memo))
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list(set(words))
+            new = list(words)
         if not new:
             return
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
@@ -360,12 +362,60 @@ class Encoder:
                 parts.append([(v.added[p] if i % 2 else pretokens(p)) for i, p in enumerate(v.split.split(t))])
             else:
                 parts.append([pretokens(t)])
-        self._learn(list(set(chain.from_iterable(p for doc in parts for p in doc if not isinstance(p, int)))))
+        self._learn(set(chain.from_iterable(p for doc in parts for p in doc if not isinstance(p, int))))
         get = self._memo.__getitem__
         return [np.frombuffer(b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in doc), dtype="<u4") for doc in parts]
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.bytes_of([ids])[0].decode("utf-8", "replace")
+
+    def bytes_of(self, found: list[np.ndarray]) -> list[bytes]:
+        """The pieces of each sequence of ids, joined."""
+        return _joined(found, *self._pieces)
+
+    def names_of(self, found: list[np.ndarray]) -> list[bytes]:
+        """The decimal ids of each sequence, joined by commas."""
+        return [x[:-1] for x in _joined(found, *self._names)]
+
+
+def _strings(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings in one buffer, with their places and sizes."""
+    size = np.array([len(x) for x in found], dtype=np.int64)
+    return np.frombuffer(b"".join(found), dtype=np.uint8), np.cumsum(size) - size, size
+
+
+def _joined(found: list[np.ndarray], data: np.ndarray, first: np.ndarray, size: np.ndarray, block: int = 1 << 19) -> list[bytes]:
+    """For each sequence of numbers its strings, joined. Short sequences are gathered together, long ones in blocks."""
+
+    def gather(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        sizes = size[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first[ids] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return data[at].tobytes(), np.concatenate([[0], ends])
+
+    out: list[bytes] = []
+    group: list[np.ndarray] = []
+
+    def flush() -> None:
+        if group:
+            raw, ends = gather(np.concatenate(group))
+            cuts = ends[np.cumsum([0, *map(len, group)])].tolist()
+            out.extend(raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            group.clear()
+
+    held = 0
+    for x in found:
+        if held + len(x) > block:
+            flush()
+            held = 0
+        if len(x) > block:
+            out.append(b"".join(gather(x[i : i + block])[0] for i in range(0, len(x), block)))
+        else:
+            group.append(x)
+            held += len(x)
+    flush()
+    return out
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", max_words: int = 1 << 15, flush: int = 150_000) -> list[str]:
@@ -377,15 +427,20 @@ def frequent_words(df: DataFrame, text_col: str = "text", max_words: int = 1 <<
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["word", "n"])
+            kept = [(w, n) for w, n in seen.items() if len(w) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], type=pa.string()), pa.array([n for _, n in kept], type=pa.int64())], names=["word", "n"])
+
+        size = 0
 
         for batch in batches:
             for a, b in chunk_rows(batch.column(0), 1 << 20):
                 for t in batch.column(0).slice(a, b - a).to_pylist():
-                    seen.update(w for w in pretokens(t or "") if len(w) <= LONG)
-                if len(seen) > flush:
+                    seen.update(pretokens(t or ""))
+                    size += len(t or "")
+                if len(seen) > flush or size > 64 << 20:
                     yield out()
                     seen.clear()
+                    size = 0
         if seen:
             yield out()
 
@@ -426,10 +481,11 @@ def encode_decode(df: DataFrame, path: str, lexicon: bytes, id_col: str = "doc_i
         e = encoder(path, key, shared)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         out: dict[str, list] = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for got in e.encode(texts):
+        found = e.encode(texts)
+        for got, names, raw in zip(found, e.names_of(found), e.bytes_of(found), strict=True):
             out["n_tokens"].append(len(got))
-            out["ids_sha256"].append(sha(",".join(map(e.names.__getitem__, got.tolist())).encode()))
-            out["decoded_sha256"].append(sha(e.decode(got).encode("utf-8", "surrogatepass")))
+            out["ids_sha256"].append(sha(names))
+            out["decoded_sha256"].append(sha(raw.decode("utf-8", "replace").encode()))
         return out
 
     kind = dict(df.dtypes)[id_col]

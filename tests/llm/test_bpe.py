@@ -63,6 +63,13 @@ def test_merging_in_bulk_equals_merging_alone(path):
     assert v.merge(words) == [v.merge_long(w) for w in words]
 
 
+def test_joined_strings_in_blocks():
+    table = bpe._strings([b"a", b"", b"ccc"])
+    found = [np.array(x, dtype=np.uint32) for x in ([0, 2], [], [2] * 9, [1, 1], [0] * 3, [0, 1, 2] * 4)]
+    want = [b"".join([b"a", b"", b"ccc"][i] for i in x.tolist()) for x in found]
+    assert bpe._joined(found, *table, block=4) == bpe._joined(found, *table) == want and bpe._joined([], *table) == []
+
+
 def test_frequent_words(spark):
     df = spark.createDataFrame([(1, "x x x y y z"), (2, None), (3, "x y")], "doc_id long, text string")
     assert bpe.frequent_words(df, max_words=2) == [" x", " y"] or set(bpe.frequent_words(df, max_words=2)) <= {" x", " y", "x"}
