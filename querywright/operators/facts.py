@@ -31,6 +31,8 @@ def mentions(s: Node) -> Iterator[tuple[str, str, str, int, int]]:
         if x.kind == "cte":
             ctes.add(x.name.text.lower())
         names = x.names
+        if x.kind == "update" or x.kind == "delete":
+            names = None
         if names and x.kind in ("table", "insert", "column", "call", "function", "create_table", "create_view", "alter_table"):
             fact = {"table": "relation", "insert": "relation", "column": "column", "call": "function", "function": "function"}.get(x.kind, "definition")
             found.append((fact, ".".join(n.text for n in names[:-1]), names[-1].text, names[-1].span.line, names[-1].span.column))

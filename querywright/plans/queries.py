@@ -10,9 +10,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from querywright.operators.facts import mentions
 from querywright.plans.dml import after
+from querywright.plans.parser import parse
 from querywright.plans.spark_sql import run
-from querywright.session import load_tables
+from querywright.session import TABLES, load_tables
 
 M = "CAST(sum(CAST({} AS DECIMAL(12,2))) AS DOUBLE PRECISION)"
 TOTAL, SPENT = M.format("o_totalprice"), M.format("l_extendedprice")
@@ -158,13 +160,19 @@ CHANGES: dict[str, tuple[str, str]] = {
 }
 
 
+def _load(text: str, spark: SparkSession, sf_dir: str) -> None:
+    """Registers the tables that a statement mentions."""
+    named = {m[2].lower() for s in parse(text) for m in mentions(s)}
+    load_tables(spark, sf_dir, [t for t in TABLES if t in named])
+
+
 def _query(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    load_tables(spark, sf_dir)
+    _load(text, spark, sf_dir)
     return run(spark, text)
 
 
 def _change(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    load_tables(spark, sf_dir)
+    _load(text, spark, sf_dir)
     return after(spark, text)
 
 

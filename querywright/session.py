@@ -18,7 +18,7 @@ def session(name: str = "querywright", **conf: str) -> SparkSession:
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Parquet tables of a folder, also as temporary views; nothing is read before a query needs it."""
     out = {}
-    for name in names or TABLES:
+    for name in TABLES if names is None else names:
         out[name] = spark.read.parquet(f"{folder}/{name}.parquet")
         out[name].createOrReplaceTempView(name)
     return out
