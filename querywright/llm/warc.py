@@ -33,7 +33,7 @@ from querywright.llm.common import cut, filesystem, fresh_dir
 
 DATE = "2000-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
-SHARD_ROWS = 8192
+SHARD_ROWS, MAX_SHARDS = 8192, 1 << 14
 
 
 def digest(payload: bytes) -> str:
@@ -65,8 +65,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
 
 def _limits(ids: DataFrame, rows: int, shard_rows: int) -> list[int]:
     """Ids at which shards begin: about every shard_rows-th, drawn by a hash of the id, so they depend on the ids alone.
-    At most some 16 for each shard reach the driver."""
-    shards = -(-rows // shard_rows)
+    There are MAX_SHARDS shards at most (larger ones roll to more files), so some 260,000 ids reach the driver at most."""
+    shards = min(MAX_SHARDS, -(-rows // shard_rows))
     if shards < 2:
         return []
     every = max(1, rows // (shards * 16))
