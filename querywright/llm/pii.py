@@ -103,13 +103,15 @@ _SIGN = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt
 _RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus\s+)|\+\s*)?{_W}(?:(?:{_SIGN}|[\s,.-]{{1,3}})(?:{_W}(?!\w)|[0-9]+)){{3,}}(?!\w)")
 _RUN_PART = re.compile(rf"(?i){_SIGN}|plus\s+|\+\s*|{_W}(?!\w)|[0-9]|[\s,.-]+")
 #: name [at] host [dot] tld, and name at host dot tld; the two signs may be disguised in different ways.
-_AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|arroba|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]?@[ \t]?)"
-_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.)"
+_AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|arroba|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]?@[ \t]?|&#64;|&#x40;|&commat;|%40|_at_)"
+_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punkt|point|punto)[ \t]+|&#46;|&#x2e;|&period;|%2e|_dot_|\.)"
 _MAIL_AT = re.compile(rf"(?i){_AT}")
 _MAIL_HOST = re.compile(rf"(?i){_AT}(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-]+)((?:[A-Za-z0-9-]+{_DOT})+)[A-Za-z0-9-]+")
 _DOTS = re.compile(rf"(?i){_DOT}")
 _LOCAL_DOT = re.compile(r"(?i)(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)$")
-_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s")
+_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|%2e|_(?:at|dot)_")
+#: What a disguised address must end with.
+_TLD = re.compile(r"\.[A-Za-z]{2,}\Z")
 _SLIPS = str.maketrans("OoIl", "0011")
 _SLIPPED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ -]?[0-9OoIl]){15,18}(?![A-Za-z0-9])")
 
@@ -173,7 +175,7 @@ def _mail_edits(t: str) -> list[tuple[int, int, str]]:
         if a == m.start():
             continue
         disguised = at[0] != "@"
-        plain_at = not re.search(r"[\[({<@]", at[0])
+        plain_at = not re.search(r"[\[({<@&%]", at[0])
         while d := _LOCAL_DOT.search(t, max(last, a - 12), a):
             b = d.start()
             while b > last and t[b - 1] in _LOCAL:
@@ -212,6 +214,8 @@ def hidden_spans(t: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
         taken = known[kind]
         starts = [a for a, _ in taken]
         for span in find(r.text):
+            if kind == "email" and not _TLD.search(r.text, *span):
+                continue
             a, b = r.source(span)
             i = bisect.bisect_left(starts, b)
             if i == 0 or taken[i - 1][1] <= a:
