@@ -45,16 +45,15 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about `limit` characters, one row at least; nulls count as empty."""
-    begin = size = 0
-    for i, x in enumerate(texts):
-        size += len(x or "")
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+BROADCAST_ROWS = 250_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """Keys (a stored table of a few short columns) for the side of a semi or anti join that need not be in order: marked
+    for broadcast if they are counted and at most BROADCAST_ROWS, some 10 MB; else as they are, so that both sides shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def map_chunks(df: DataFrame, work: Callable, schema, limit: int = 4 << 20) -> DataFrame:

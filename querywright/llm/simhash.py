@@ -25,14 +25,13 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import cut, map_chunks, spare, stored
+from querywright.llm.common import cut, map_chunks, sized, spare, stored
 
 SEED = 42
 STEP_BITS = 8
@@ -312,13 +311,6 @@ def samples(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def similarity_of(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets, given as sorted hashes without repeats."""
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
-
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, max_bits: int = 2, node_rows: int = 1 << 16) -> DataFrame:
     """Per row: doc_id, component_id. Links documents whose fingerprints differ in at most `max_bits` bits (all of them, by
     the index), and documents whose shingle sets have at least `similarity`: a document is compared, exactly, with the
@@ -334,7 +326,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(map_chunks(texts, work, StructType.fromDDL(f"doc_id {kind}, fp long, bands array<long>")), "samples")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # One row for each fingerprint and sample, however many copies there are; then those whose sample others have too.
-    placed = rows.select("fp", F.explode("bands").alias("band")).groupBy("fp", "band").agg(F.lit(1).alias("x")).select("fp", "band")
+    placed = stored(rows.select("fp", F.explode("bands").alias("band")).groupBy("fp", "band").agg(F.lit(1).alias("x")).select("fp", "band"), "bands")
     hubs = stored(placed.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("band", F.explode(F.array("low", "high")).alias("hub")), "hubs")
     pairs = stored(placed.join(hubs, "band").filter("fp <> hub").select("fp", "hub").distinct(), "pairs")
     needed = pairs.select("fp").unionAll(pairs.select("hub")).distinct().join(distinct, "fp").select("rep").distinct()
@@ -342,17 +334,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def shingles(ids: list, texts: list) -> dict:
         hashes = [shingle_hashes(t, ngram) for t in texts]
         fps = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
-        return {"fp": fps.view(np.int64), "shingles": [np.unique(h).astype("<u8").tobytes() for h in hashes]}
-
-    wanted = texts.join(stored(needed, "needed"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = stored(map_chunks(wanted, shingles, StructType.fromDDL("fp long, shingles binary")).groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
+        return {"fp": fps.view(np.int64), "shingles": [np.unique(h).view(np.int64) for h in hashes]}
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity_of(x, y) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
+    wanted = texts.join(sized(stored(needed, "needed")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = stored(map_chunks(wanted, shingles, StructType.fromDDL("fp long, shingles array<long>")).groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
 
     both = pairs.join(sets.withColumnRenamed("shingles", "a"), "fp").join(sets.select(F.col("fp").alias("hub"), F.col("shingles").alias("b")), "hub")
-    close = both.filter(alike("a", "b")).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    close = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b"))
     near = fingerprint_edges(distinct.select("fp"), max_bits, node_rows)
     final = components(near.unionAll(close))
     named = distinct.join(final, distinct["fp"] == final["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -366,8 +355,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """All columns; of each group of near duplicates the row with the smallest (id, hash of the text) stays, once."""
     th, left, right = spare(df, "_th"), spare(df, "_left"), spare(df, "_right")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"))
-    groups = similar_groups(df.select(key.alias("doc_id"), F.col(text_col).alias("text")), **options)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id.id").alias(left), F.col("doc_id.th").alias(right)).distinct()
+    groups = stored(similar_groups(df.select(key.alias("doc_id"), F.col(text_col).alias("text")), **options), "groups")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.id").alias(left), F.col("doc_id.th").alias(right)).distinct()
+    gone = sized(stored(gone, "gone"))
     keyed = df.withColumn(th, F.xxhash64(F.col(text_col)))
-    kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep[left]) & (keyed[th] == keep[right]), "left_semi")
-    return kept.dropDuplicates([id_col, th]).select(*df.columns)
+    kept = keyed.join(gone, keyed[id_col].eqNullSafe(gone[left]) & (keyed[th] == gone[right]), "left_anti")
+    if not groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # rows that repeat a kept one
+        kept = kept.dropDuplicates([id_col, th])
+    return kept.select(*df.columns)

@@ -106,13 +106,11 @@ def test_similarity_links(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(50))
 
 
-def test_similarity_of_sets():
-    a, b = np.arange(200, dtype="<u8").tobytes(), np.arange(50, 250, dtype="<u8").tobytes()
-    assert S.similarity_of(a, b) == 150 / 250 and S.similarity_of(b"", b"") == 0.0 and S.similarity_of(a, a) == 1.0
-
-
-def test_one_of_each_keeps_nulls_and_repeats_once(spark):
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_one_of_each_keeps_nulls_and_repeats_once(spark, monkeypatch, most):
+    """With the keys broadcast, and with both sides shuffled."""
+    monkeypatch.setattr("querywright.llm.common.BROADCAST_ROWS", most)
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, long), (2, long), (2, long), (3, None), (None, "other words here and there again"), (4, "alone " + long[::-1])]
+    rows = [(1, long), (2, long), (2, long), (3, None), (None, "other words here and there again"), (4, "alone " + long[::-1]), (5, "twice the same row"), (5, "twice the same row")]
     kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 3, 4]
+    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 3, 4, 5]
