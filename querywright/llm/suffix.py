@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 from querywright.llm.common import chunk_rows, spare, stored, with_columns
 
 LENGTH, GRAM, BUCKET = 200, 40, 2048
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 WIN_BITS = 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -215,7 +215,7 @@ def _spans(hit: np.ndarray, pos: int, length: int) -> list[tuple[int, int]]:
     return [(int(pos + at[a]), int(pos + at[b]) + length) for a, b in zip([0, *(cut + 1)], [*cut, len(at) - 1], strict=True)]
 
 
-def _sort_task(length: int, kind: pa.DataType, limit: int = 1 << 20):
+def _sort_task(length: int, kind: pa.DataType, limit: int = 1 << 19):
     """Task over contexts sorted by (m, salt): repeated ranges, and names of the windows of salted marks."""
     schema = pa.schema([("doc_id", kind), ("th", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("twice", pa.bool_())])
 
