@@ -21,6 +21,7 @@ have one shingle, all their words. A null id is never a component's name unless
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -311,39 +312,106 @@ def samples(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def set_hash(distinct: np.ndarray) -> int:
+    """A name for a set of shingles, as a signed long."""
+    return int(np.array([xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
+
+
+def prefix(distinct: np.ndarray, similarity: float, usual: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first members of a set in an order that is the same for all sets: unusual ones by value, then the usual ones
+    (sorted, with their places) by place. Sets of at least `similarity` share a member of their prefixes."""
+    size = len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1 if len(distinct) else 0
+    if len(usual) and len(distinct):
+        at = np.minimum(np.searchsorted(usual, distinct), len(usual) - 1)
+        known = usual[at] == distinct
+        distinct = np.concatenate([distinct[~known], distinct[known][np.argsort(place[at[known]])]])
+    return distinct[:size]
+
+
+#: The order of prefixes: one set in SAMPLE is counted; shingles in USUAL or more of those come last, the ORDERED most usual.
+SAMPLE, USUAL, ORDERED = 16, 2, 250_000
+#: Members of a prefix key that one task pairs with all of the key's members.
+KEY_ROWS = 512
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, max_bits: int = 2, node_rows: int = 1 << 16) -> DataFrame:
     """Per row: doc_id, component_id. Links documents whose fingerprints differ in at most `max_bits` bits (all of them, by
-    the index), and documents whose shingle sets have at least `similarity`: a document is compared, exactly, with the
-    smallest and the largest (by fingerprint) of each of its samples, so no group is paired off, however large."""
-    kind = dict(df.dtypes)[id_col]
+    the index), and documents whose shingle sets have at least `similarity` (all of them too). Sets are compared exactly:
+    1. Each with three of each of its samples: the smallest, the largest, and the one whose samples most others have. That
+       joins large families without pairing them off.
+    2. Sets that share a member of their prefixes and are not joined yet, whatever their number."""
+    kind, spark = dict(df.dtypes)[id_col], df.sparkSession
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def work(ids: list, texts: list) -> dict:
         hashes = [shingle_hashes(t, ngram) for t in texts]
         fps = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
-        return {"doc_id": ids, "fp": fps.view(np.int64), "bands": [samples(h) for h in hashes]}
+        sets = [np.unique(h) for h in hashes]
+        names = [set_hash(x) for x in sets]
+        some = [x.view(np.int64) if n % SAMPLE == 0 else None for x, n in zip(sets, names, strict=True)]
+        return {"doc_id": ids, "fp": fps.view(np.int64), "th": names, "bands": [samples(x) for x in sets], "some": some}
 
-    rows = stored(map_chunks(texts, work, StructType.fromDDL(f"doc_id {kind}, fp long, bands array<long>")), "samples")
+    rows = stored(map_chunks(texts, work, StructType.fromDDL(f"doc_id {kind}, fp long, th long, bands array<long>, some array<long>")), "samples")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # One row for each fingerprint and sample, however many copies there are; then those whose sample others have too.
-    placed = stored(rows.select("fp", F.explode("bands").alias("band")).groupBy("fp", "band").agg(F.lit(1).alias("x")).select("fp", "band"), "bands")
-    hubs = stored(placed.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("band", F.explode(F.array("low", "high")).alias("hub")), "hubs")
-    pairs = stored(placed.join(hubs, "band").filter("fp <> hub").select("fp", "hub").distinct(), "pairs")
-    needed = pairs.select("fp").unionAll(pairs.select("hub")).distinct().join(distinct, "fp").select("rep").distinct()
+    # One row for each different set; its other fingerprints (repeats count in them) are linked to its smallest.
+    sets_of = stored(rows.groupBy("th").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min("doc_id").alias("rep")), "sets")
+    twins = rows.select("th", "fp").distinct().join(sets_of.filter("fp <> other").select("th", F.col("fp").alias("low")), "th").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
     def shingles(ids: list, texts: list) -> dict:
-        hashes = [shingle_hashes(t, ngram) for t in texts]
-        fps = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
-        return {"fp": fps.view(np.int64), "shingles": [np.unique(h).view(np.int64) for h in hashes]}
-
-    wanted = texts.join(sized(stored(needed, "needed")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = stored(map_chunks(wanted, shingles, StructType.fromDDL("fp long, shingles array<long>")).groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
-
-    both = pairs.join(sets.withColumnRenamed("shingles", "a"), "fp").join(sets.select(F.col("fp").alias("hub"), F.col("shingles").alias("b")), "hub")
-    shared = F.size(F.array_intersect("a", "b"))
-    close = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b"))
-    near = fingerprint_edges(distinct.select("fp"), max_bits, node_rows)
-    final = components(near.unionAll(close))
+        sets = [np.unique(shingle_hashes(t, ngram)) for t in texts]
+        return {"th": [set_hash(x) for x in sets], "shingles": [x.view(np.int64) for x in sets]}
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Edges of the pairs (th, hub) whose sets have the similarity."""
+        needed = pairs.select("th").unionAll(pairs.select(F.col("hub").alias("th"))).distinct().join(sets_of, "th").select("rep").distinct()
+        wanted = texts.join(sized(stored(needed, "needed")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        made = map_chunks(wanted, shingles, StructType.fromDDL("th long, shingles array<long>")).groupBy("th").agg(F.min("shingles").alias("shingles"))
+        sets = stored(made.join(sets_of.select("th", "fp"), "th"), "shingles")
+        both = pairs.join(sets.select("th", F.col("fp").alias("u"), F.col("shingles").alias("a")), "th").join(sets.select(F.col("th").alias("hub"), F.col("fp").alias("v"), F.col("shingles").alias("b")), "hub")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
+
+    # One row for each set and sample, however many copies there are; then those whose sample others have too.
+    placed = stored(rows.select("th", F.explode("bands").alias("band")).groupBy("th", "band").agg(F.lit(1).alias("x")).select("th", "band"), "bands")
+    shared_bands = stored(placed.groupBy("band").agg(F.min("th").alias("low"), F.max("th").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"), "shared")
+    members = stored(placed.join(shared_bands.select("band", "n"), "band"), "members")
+    scores = members.groupBy("th").agg(F.sum("n").alias("score"))
+    middle = members.join(scores, "th").groupBy("band").agg(F.max(F.struct("score", "th"))["th"].alias("mid"))
+    hubs = stored(shared_bands.join(middle, "band").select("band", F.explode(F.array_distinct(F.array("low", "high", "mid"))).alias("hub")), "hubs")
+    pairs = stored(members.join(hubs, "band").filter("th <> hub").select("th", "hub").distinct(), "pairs")
+    near = fingerprint_edges(distinct.select("fp"), max_bits, node_rows).unionAll(twins)
+    first = cut(components(near.unionAll(close(pairs))))
+
+    # What is left: sets of different components that share a member of their prefixes.
+    common = rows.filter("some is not null").groupBy("th").agg(F.min("some").alias("some")).select(F.explode("some").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    common = common.filter(F.col("n") >= USUAL).orderBy(F.desc("n"), "x").limit(ORDERED).select("x").toPandas()["x"].to_numpy(dtype=np.int64).view(np.uint64)
+    by_value = np.argsort(common)
+    order = spark.sparkContext.broadcast((common[by_value], -by_value))
+
+    def prefixes(ids: list, texts: list) -> dict:
+        sets = [np.unique(shingle_hashes(t, ngram)) for t in texts]
+        return {"th": [set_hash(x) for x in sets], "size": [len(x) for x in sets], "keys": [prefix(x, similarity, *order.value).view(np.int64) for x in sets]}
+
+    rooted = sets_of.join(first, sets_of["fp"] == first["node"], "left").select("th", F.coalesce("root", "fp").alias("root"))
+    made = map_chunks(texts, prefixes, StructType.fromDDL("th long, size int, keys array<long>")).groupBy("th").agg(F.min("size").alias("size"), F.min("keys").alias("keys"))
+    lists = stored(made.join(rooted, "th"), "prefixes")
+    keys = lists.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    keys = stored(keys.filter("low < high").select("key", F.ceil(F.col("n") / KEY_ROWS).cast("long").alias("parts")), "keys")
+    hits = stored(lists.select("th", "size", "root", F.posexplode("keys").alias("at", "key")).join(sized(keys), "key"), "hits")
+    # A key's members are dealt over its parts, and meet all of its members there.
+    left = hits.withColumn("part", F.pmod("th", "parts")).select("key", "part", *[F.col(c).alias(f"a_{c}") for c in ("th", "size", "root", "at")])
+    right = hits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", "part", *[F.col(c).alias(f"b_{c}") for c in ("th", "size", "root", "at")])
+    need = similarity * (F.col("a_size") + F.col("b_size")) - 1e-6
+    most = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
+    pair = left.join(right, ["key", "part"]).filter((F.col("a_th") < F.col("b_th")) & (F.col("a_root") != F.col("b_root")) & sizes & (most * (1 + similarity) >= need))
+    met = pair.groupBy(F.col("a_th").alias("th"), F.col("b_th").alias("hub"), "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"))
+    # What two sets share is in both prefixes, or beyond the prefix that ends first.
+    beyond = F.ceil(similarity * F.greatest("a_size", "b_size") - 1e-9) - 1
+    rest = stored(met.filter((F.col("n") + beyond) * (1 + similarity) >= need).select("th", "hub"), "rest")
+
+    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(close(rest))
+    final = components(edges)
     named = distinct.join(final, distinct["fp"] == final["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     # Stored before it is joined, so that Spark can split the partition of a text that very many documents share.

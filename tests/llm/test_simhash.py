@@ -114,3 +114,66 @@ def test_one_of_each_keeps_nulls_and_repeats_once(spark, monkeypatch, most):
     rows = [(1, long), (2, long), (2, long), (3, None), (None, "other words here and there again"), (4, "alone " + long[::-1]), (5, "twice the same row"), (5, "twice the same row")]
     kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 3, 4, 5]
+
+
+def brute_similar(rows, similarity=0.8):
+    """id -> smallest id reached over pairs of that similarity (and equal fingerprints are among them here)."""
+    sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    out = {}
+    for i in sorted(sets):
+        if i in out:
+            continue
+        group, front = {i}, [i]
+        while front:
+            x = front.pop()
+            near = [j for j in sets if j not in group and len(sets[j] & sets[x]) >= similarity * len(sets[j] | sets[x])]
+            group |= set(near)
+            front += near
+        out |= dict.fromkeys(group, i)
+    return out
+
+
+def edited(words, n, rng, word):
+    """The words with n of them, far from one another, replaced."""
+    w = list(words)
+    for p in rng.sample(range(2, len(words) // 5), n):
+        w[p * 5] = word()
+    return w
+
+
+def test_star_of_1000_variants(spark):
+    """Each variant is close to the original alone."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    words = [word() for _ in range(300)]
+    rows = [(i, " ".join(edited(words, 5, rng, word) if i != 500 else words)) for i in range(1001)]
+    rows += [(2000 + i, " ".join(word() for _ in range(80))) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_similar(rows)
+    assert sum(c == 0 for c in got.values()) == 1001
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(8)
+    usual = np.sort(rng.integers(0, 400, 60).astype(np.uint64))
+    usual = np.unique(usual)
+    place = rng.permutation(len(usual))
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 40)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 400, rng.integers(0, 4)).astype(np.uint64)]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(S.prefix(a, 0.8, usual, place), S.prefix(b, 0.8, usual, place)))
+
+
+@pytest.mark.parametrize("key_rows", [512, 3])
+def test_pairs_that_no_sample_links_are_found(spark, monkeypatch, key_rows):
+    """Without samples, the prefixes alone find all; keys of any size are split."""
+    monkeypatch.setattr(S, "samples", lambda hashes: [])
+    monkeypatch.setattr(S, "KEY_ROWS", key_rows)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    words = [word() for _ in range(200)]
+    rows = [(i, " ".join(edited(words, rng.randint(2, 5), rng, word) if i else words)) for i in range(60)]
+    rows += [(100 + i, " ".join([*words[:40], *(word() for _ in range(100))])) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_similar(rows)
