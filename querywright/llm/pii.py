@@ -110,6 +110,13 @@ _MAIL_HOST = re.compile(rf"(?i){_AT}(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-]+)((?:[A-Z
 _DOTS = re.compile(rf"(?i){_DOT}")
 _LOCAL_DOT = re.compile(r"(?i)(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)$")
 _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|%2e|_(?:at|dot)_")
+#: Four groups of digits, numerals or spelled digits, with three signs between, disguised or not.
+_IP_SIGN = r"(?:\s*+[\[({<]\s*+(?:dot|\.|punkt|point|punto)\s*+[\])}>]\s*+|\s++(?:dot|punkt|point|punto)\s++|&#46;|&#x2e;|&period;|%2e|_dot_|\.)"
+_IP_GROUP = rf"((?:{_W}(?![^\W_])|[0-9]++)(?:[\s-]{{1,3}}(?:{_W}(?![^\W_])|[0-9](?![0-9]))){{0,7}})"
+_IP_RUN = re.compile(rf"(?i)(?<![^\W_]){_IP_GROUP}{_IP_SIGN}{_IP_GROUP}{_IP_SIGN}{_IP_GROUP}{_IP_SIGN}{_IP_GROUP}")
+_IP_PART = re.compile(rf"(?i){_W}(?![^\W_])|[0-9]+")
+_IP_WORDS = ("dot", "punkt", "point", "punto", "&#46;", "&#x2e;", "&period;", "%2e")
+_IP_HINT = re.compile(rf"(?i)[\[({{<]\s*+\.\s*+[\])}}>]|[^\W\d_]\.\w|\d\.[^\W\d_]")
 #: What a disguised address must end with.
 _TLD = re.compile(r"\.[A-Za-z]{2,}\Z")
 _SLIPS = str.maketrans("OoIl", "0011")
@@ -144,6 +151,31 @@ class Rewriting:
         return self.begin[span[0]], self.end[span[1] - 1]
 
 
+def _disguised_ips(t: str) -> list[Span]:
+    """Addresses with a spelled digit or a disguised dot; digits before the first group or after the last that make it too
+    large do not belong to it."""
+    low = t.lower()
+    if not any(w in low for w in _IP_WORDS) and not _IP_HINT.search(t):
+        return []
+    out, at = [], 0
+    while m := _IP_RUN.search(t, at):
+        groups = [[(p.start(), p.end(), DIGITS.get(p[0].lower()) or p[0]) for p in _IP_PART.finditer(t, *m.span(i))] for i in (1, 2, 3, 4)]
+        value = lambda g: "".join(x for _, _, x in g)
+        small = lambda g: bool(ips(f"0.0.0.{value(g)}"))
+        while len(groups[0]) > 1 and not small(groups[0]):
+            del groups[0][0]
+        while len(groups[3]) > 1 and not small(groups[3]):
+            del groups[3][-1]
+        if all(map(small, groups)):
+            a, b = groups[0][0][0], groups[3][-1][1]
+            if t[a:b] != ".".join(map(value, groups)):
+                out.append((a, b))
+            at = b
+        else:
+            at = m.end(1)
+    return out
+
+
 def _digit_edits(t: str) -> list[tuple[int, int, str]]:
     low = t.lower()
     if sum(low.count(w) for w in DIGITS) < 4:
@@ -200,6 +232,7 @@ def hidden_spans(t: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
         r.text = t.translate(HOMOGLYPHS)  # one character for one
         r.apply([(m.start(), m.end(), "") for m in _ZERO.finditer(r.text)])
         changed = True
+    addresses = [r.source(x) for x in _disguised_ips(r.text)]
     for edits in (_digit_edits, _mail_edits):
         if made := edits(r.text):
             r.apply(made)
@@ -208,10 +241,12 @@ def hidden_spans(t: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
         r.apply([(i, i + 1, r.text[i].translate(_SLIPS)) for m in slips for i in range(m.start(), m.end()) if r.text[i] in "OoIl"])
         changed = True
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
+    begins = [a for a, _ in known["ip"]]
+    out["ip"] = [(a, b) for a, b in addresses if not (i := bisect.bisect_left(begins, b)) or known["ip"][i - 1][1] <= a]
     if not changed:
         return out
     for kind, find in FINDERS.items():
-        taken = known[kind]
+        taken = sorted(known[kind] + out[kind])
         starts = [a for a, _ in taken]
         for span in find(r.text):
             if kind == "email" and not _TLD.search(r.text, *span):

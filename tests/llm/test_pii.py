@@ -80,3 +80,36 @@ def test_query(spark):
 def test_redact_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "to a@b.co", "s"), (2, None, None)], "doc_id long, text string, source string")
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "to <EMAIL>", "s"), (2, None, None)]
+
+
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("host one two seven dot zero dot zero dot one ok", "one two seven dot zero dot zero dot one"),
+        ("dns eight dot eight dot eight dot eight.", "eight dot eight dot eight dot eight"),
+        ("to 192[.]168[.]0[.]1 now", "192[.]168[.]0[.]1"),
+        ("to 192.168[.]0.1 now", "192.168[.]0.1"),
+        ("to 192 ( dot ) 168 {.} 0 <punto> 1 now", "192 ( dot ) 168 {.} 0 <punto> 1"),
+        ("to 192 dot 168 dot 0 dot 1 now", "192 dot 168 dot 0 dot 1"),
+        ("to 192 dot 168 dot zero dot one now", "192 dot 168 dot zero dot one"),
+        ("to 10&#46;0&#x2e;0&period;1 now", "10&#46;0&#x2e;0&period;1"),
+        ("to 10%2e0%2E0_dot_1 now", "10%2e0%2E0_dot_1"),
+        ("to eins null Punkt null Punkt null Punkt eins", "eins null Punkt null Punkt null Punkt eins"),
+        ("room nine 192 dot 168 dot 0 dot 1 now", "192 dot 168 dot 0 dot 1"),
+        ("9 dot 999 dot 1 dot 2 dot 3 dot 4 now", "1 dot 2 dot 3 dot 4"),
+    ],
+)
+def test_disguised_ips(text, span):
+    base, more = pii.all_spans(text)
+    assert not base["ip"] and [text[a:b] for a, b in more["ip"]] == [span]
+    assert pii.redacted(text) == text.replace(span, "<IP>")
+
+
+@pytest.mark.parametrize("text", ["192[.]168[.]0", "300 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "the point is: one. Two. Three. Four.", "1. 2. 3. 4.", "one of nine points"])
+def test_no_ips(text):
+    assert pii.redacted(text) == text
+
+
+def test_disguised_ips_are_linear():
+    for t in ("one dot " * 25_000, "1 " * 100_000 + "dot", "dot" + "1[" * 100_000, "dot 1" + " " * 200_000, "one\n" * 50_000 + " dot ", "999 dot " * 25_000):
+        pii.all_spans(t)
