@@ -109,7 +109,7 @@ _MAIL_AT = re.compile(rf"(?i){_AT}")
 _MAIL_HOST = re.compile(rf"(?i){_AT}(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-]+)((?:[A-Za-z0-9-]+{_DOT})+)[A-Za-z0-9-]+")
 _DOTS = re.compile(rf"(?i){_DOT}")
 _LOCAL_DOT = re.compile(r"(?i)(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)$")
-_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|%2e|_(?:at|dot)_")
+_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|%2e|_(?:at|dot)_|[ \t]@|@[ \t]")
 #: Four groups of digits, numerals or spelled digits, with three signs between, disguised or not.
 _IP_SIGN = r"(?:\s*+[\[({<]\s*+(?:dot|\.|punkt|point|punto)\s*+[\])}>]\s*+|\s++(?:dot|punkt|point|punto)\s++|&#46;|&#x2e;|&period;|%2e|_dot_|\.)"
 _IP_GROUP = rf"((?:{_W}(?![^\W_])|[0-9]++)(?:[\s-]{{1,3}}(?:{_W}(?![^\W_])|[0-9](?![0-9]))){{0,7}})"

@@ -113,3 +113,17 @@ def test_no_ips(text):
 def test_disguised_ips_are_linear():
     for t in ("one dot " * 25_000, "1 " * 100_000 + "dot", "dot" + "1[" * 100_000, "dot 1" + " " * 200_000, "one\n" * 50_000 + " dot ", "999 dot " * 25_000):
         pii.all_spans(t)
+
+
+@pytest.mark.parametrize(("text", "span"), [("write to john @ example.com", "john @ example.com"), ("to john@ example.com now", "john@ example.com"), ("to john @example.com now", "john @example.com")])
+def test_spaced_at_signs(text, span):
+    assert pii.redacted(text) == text.replace(span, "<EMAIL>")
+
+
+def test_prefilter_of_mails_loses_nothing(monkeypatch):
+    parts = ["john", "example", "com", "@", " ", "\t", ".", "[at]", "(dot)", "[.]", " at ", " dot ", " arroba ", "&#64;", "&#46;", "%40", "%2E", "_at_", "_dot_", "{ @ }", " punto "]
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 9))) for _ in range(40_000)]
+    got = [pii._mail_edits(t) for t in texts]
+    monkeypatch.setattr(pii, "_HINT", re.compile(""))
+    assert sum(map(bool, got)) > 100 and got == [pii._mail_edits(t) for t in texts]
