@@ -31,6 +31,9 @@ AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+CHAPTERS, TAGS, ATTACHMENTS = 0x1043A770, 0x1254C367, 0x1941A469
+#: The two elements that may have an unknown size, and what ends them: elements of their own level or of one above.
+UNKNOWN_ENDS = {SEGMENT: {EBML, SEGMENT}, CLUSTER: {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}}
 NO_LACING, XIPH, FIXED, EBML_LACING = range(4)
 PAD, RATE = 64, 8000
 
@@ -108,15 +111,30 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int
     return (raw if keep_marker else value), at + width, value == (1 << 7 * width) - 1
 
 
+def _unknown_end(data: bytes, at: int, end: int, ends: set[int]) -> int:
+    """Where the first element of `ends` begins; children of unknown size are entered, as one of them may end both."""
+    while ends and at < end:
+        try:
+            ident, body, _ = read_vint(data, at, True)
+            if ident in ends:
+                return at
+            size, body, unknown = read_vint(data, body)
+        except (ValueError, IndexError):
+            return end
+        at = body if unknown else body + size
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, begin and end of the body) of each element in a range; an unknown size reaches to the range's end."""
+    """(id, begin and end of the body) of each element in a range; a segment or cluster of unknown size ends before the first element
+    that cannot be inside it, any other at the range's end."""
     while at < end:
         try:
             ident, at, _ = read_vint(data, at, True)
             size, at, unknown = read_vint(data, at)
         except (ValueError, IndexError):
             return
-        stop = end if unknown else at + size
+        stop = _unknown_end(data, at, end, UNKNOWN_ENDS.get(ident, set())) if unknown else at + size
         if stop > end:
             return
         yield ident, at, stop

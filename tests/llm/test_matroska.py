@@ -67,3 +67,16 @@ def test_packet_table(spark):
     rows = M.packet_table(media).orderBy("n").collect()
     data = media.first()["media"]
     assert len(rows) == 20 and bytes(data[rows[0]["begin"] : rows[0]["begin"] + rows[0]["length"]]) == b"z" * 256
+
+
+def test_clusters_of_unknown_size_end_at_the_next_element():
+    def cluster(at, body):
+        return M.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + M.uint(M.CLUSTER_TIMESTAMP, at) + M.element(M.SIMPLE_BLOCK, M.vint(1) + b"\x00\x05\x80" + body)
+
+    cues = M.element(M.CUES, M.element(M.CUE_POINT, M.uint(M.CUE_TIME, 100) + M.element(M.CUE_TRACK_POSITIONS, M.uint(M.CUE_TRACK, 1) + M.uint(M.CUE_CLUSTER_POSITION, 0))))
+    head = M.element(M.EBML, M.element(M.DOC_TYPE, b"matroska"))
+    segment = M.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    data = head + segment + cluster(100, b"ONE") + cluster(200, b"TWO") + cues + head + segment + cluster(300, b"NEXT")
+    m = M.parse(data)
+    assert [(ts, data[a:b]) for _, ts, _, a, b in m.packets] == [(105_000_000, b"ONE"), (205_000_000, b"TWO"), (305_000_000, b"NEXT")]
+    assert m.cues == [(100_000_000, 1, 0)] and len(m.clusters) == 3
