@@ -116,11 +116,14 @@ class Model:
 
         every = np.ones(len(full), dtype=bool)
         single = np.add.reduceat(np.log(like) * count[:, None], starts, axis=0)
-        pi, _ = fit(np.ones((len(full), n)), every)
+        pi, most = fit(np.ones((len(full), n)), every)
         order = np.argsort(-pi, axis=1, kind="stable")
         first = np.argmax(single, axis=1)
         best, value = np.eye(n)[first], single[np.arange(len(full)), first]
-        open_ = pi[np.arange(len(full)), order[:, 1]] > 0.01 if n > 1 else ~every
+        # The likelihood is concave in the proportions: its slope at pi bounds what any set of languages can reach.
+        mixed = (like * np.repeat(pi, sizes, axis=0)).sum(axis=1)
+        most = most + np.add.reduceat(like * (count / mixed)[:, None], starts, axis=0).max(axis=1) - total
+        open_ = most > value + PENALTY * np.log1p(total) - 1e-9 * total if n > 1 else ~every
         for k in range(2, n + 1):
             if not open_.any():
                 break

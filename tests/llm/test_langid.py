@@ -57,3 +57,12 @@ def test_driver_rows(spark, data):
     model = langid.fit(df.filter(~langid.held_out()))
     got = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").filter(langid.held_out()).collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got if r["lang"]]) > 0.97
+
+
+def test_small_shares_of_long_texts_are_found(spark):
+    """The penalised likelihood alone decides, whatever the share."""
+    rows, make = samples(300)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (found,) = model.mixtures([make("xx", 60_000) + " " + make("yy", 300)])
+    assert [x for x, _ in found] == ["xx", "yy"] and abs(found[1][1] - 0.005) < 0.002
+    assert [len(m) for m in model.mixtures([make("xx", 60_000)])] == [1]
