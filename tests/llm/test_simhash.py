@@ -177,3 +177,13 @@ def test_pairs_that_no_sample_links_are_found(spark, monkeypatch, key_rows):
     rows += [(100 + i, " ".join([*words[:40], *(word() for _ in range(100))])) for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_similar(rows)
+
+
+def test_texts_that_share_a_fingerprint_keep_their_own_shingles(spark, monkeypatch):
+    monkeypatch.setattr(S, "fingerprint", lambda hashes: 0 if len(hashes) == 196 else 0xFFFF)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    first, second = ([word() for _ in range(200)] for _ in range(2))
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(second[:-1]))]
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
