@@ -4,15 +4,19 @@ Writing: each payload's SHA-1 and length are taken first; of records with equal
 response and the others revisit it. Records are range-sorted by id into shards. The shards' limits are ids drawn by a hash
 of the id alone, so neither the cluster nor the partitioning changes them. A task writes a shard's records in order, each
 as one gzip member with regenerated headers, and rolls to the next file when `file_bytes` compressed bytes are reached.
-A file is written under a temporary name of the task's attempt and renamed when it is whole; as files are deterministic, a
-second attempt renames equal bytes. The manifest (a Parquet table of files with sizes and digests) is the commit: it is
-written to a temporary folder and renamed last, and readers read only what it lists.
+A file is written under a temporary name of the task's attempt and renamed when it is whole; a second attempt finds a file
+of that name, makes sure that it holds the bytes of its own, and drops the latter. The manifest (a Parquet table of files
+with sizes and digests) is the commit: it is written to a temporary folder and renamed last, and readers read only what it
+lists. A folder that has a manifest is not written to again, that is an error, and so are files of other records.
 
-The html crosses the network once: revisit notes are unioned as small rows and meet their record by the sort.
+The html crosses the network once: revisit notes are unioned as small rows and meet their record by the sort. An id (or
+null) with more records than a shard should have is dealt over several parts of its shard by payload.
 
 Defined results: a null payload counts as empty and is a record too. Rows that repeat an id are separate records; among
 equal payloads those with the smallest id are responses. A null id sorts first, is written without a number and can only
-be a revisit where another record has the payload. An empty table gives a manifest without files.
+be a revisit where another record has the payload. An empty table gives a manifest without files. Other columns than the
+three named ones are not read, whatever they are called. Ids are integers; another type that casts to long is cast, and one
+that does not is Spark's error.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm.common import cut, filesystem, fresh_dir
+from querywright.llm.common import cut, filesystem, fresh_dir, stored
 
 DATE = "2000-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
@@ -74,6 +78,19 @@ def _limits(ids: DataFrame, rows: int, shard_rows: int) -> list[int]:
     return [drawn[len(drawn) * i // shards] for i in range(1, shards)] if len(drawn) >= shards else drawn
 
 
+def _parts(keys: DataFrame, rows: int, shard_rows: int) -> Column:
+    """The part of its shard that a record goes to: by payload where its id has more records than a shard, else
+    0. Such ids are fewer than shards, MAX_SHARDS at most, so the driver may hold them."""
+    most = max(shard_rows, rows // MAX_SHARDS)
+    large = {r["page_id"]: -(-r["n"] // most) for r in keys.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()}
+    if not large:
+        return F.lit(0)
+    ids = [x for x in large if x is not None]
+    many = F.element_at(F.map_from_arrays(F.array(*map(F.lit, ids)).cast("array<bigint>"), F.array(*[F.lit(large[x]) for x in ids]).cast("array<int>")), F.col("page_id")) if ids else F.lit(None).cast("int")
+    many = F.when(F.col("page_id").isNull(), F.lit(large.get(None, 1))).otherwise(F.coalesce(many, F.lit(1)))
+    return F.pmod(F.xxhash64("sha"), many).cast("int")
+
+
 def _shard(page: Column, limits: list[int]) -> Column:
     """Number of limits that are not above the id, by binary search; 0 for null."""
     if not limits:
@@ -86,17 +103,22 @@ def _shard(page: Column, limits: list[int]) -> Column:
 def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_rows: int = SHARD_ROWS, file_bytes: int = FILE_BYTES, level: int = 6) -> DataFrame:
     """Writes the records below `path` (in the shared folder) and returns the committed manifest."""
     spark = df.sparkSession
+    if _exists(spark, posixpath.join(path, "manifest")):
+        raise FileExistsError(f"{path} holds an archive already")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     # 256 bits decide which payloads are equal; the record's own digest is SHA-1, as usual.
     keys = cut(rows.select("page_id", F.sha2("html", 256).alias("sha")))
-    first = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Stored before it is joined, so that Spark can split the partition of a payload that very many pages share.
+    first = stored(keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first-pages")
     notes = keys.join(first, "sha").filter("page_id is null or page_id > first").select("page_id", "first", "sha").distinct()
-    limits = _limits(keys, keys.count(), shard_rows)
+    n_rows = keys.count()
+    limits = _limits(keys, n_rows, shard_rows)
     shard = _shard(F.col("page_id"), limits)
+    parts = _parts(keys, n_rows, shard_rows)
     null = lambda kind: F.lit(None).cast(kind)
     all_rows = rows.select("page_id", F.sha2("html", 256).alias("sha"), F.lit(1).alias("kind"), "url", "html", null("long").alias("first")).unionAll(notes.select("page_id", "sha", F.lit(0), null("string"), null("string"), "first"))
-    placed = all_rows.withColumn("shard", shard)
-    ordered = placed.repartition(3 * len(limits) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind").select("shard", "page_id", "kind", "url", "html", "first", "sha")
+    placed = all_rows.withColumns({"shard": shard, "part": parts})
+    ordered = placed.repartition(3 * len(limits) + 1, "shard", "part").sortWithinPartitions("shard", "part", "page_id", "sha", "kind").select("shard", "part", "page_id", "kind", "url", "html", "first", "sha")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
@@ -112,26 +134,26 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
                 out.close()
                 out = None
                 name = posixpath.join(base, state["name"])
-                if fs.get_file_info(name).type.name == "File":  # another attempt has written the same bytes
+                if fs.get_file_info(name).type.name == "File":  # of another attempt, whose bytes are the same
+                    if _sha256(fs, name) != state["sha"].hexdigest():
+                        raise FileExistsError(f"{name} holds other records")
                     fs.delete_file(state["temp"])
                 else:
                     fs.move(state["temp"], name)
-                made.append((state["name"], state["shard"], state["records"], state["bytes"], state["sha"].hexdigest()))
+                made.append((state["name"], state["place"][0], state["records"], state["bytes"], state["sha"].hexdigest()))
 
         for batch in batches:
             for cols in _slices(batch):
-                for s, page, kind, url, html, refers, sha in zip(*cols, strict=True):
+                for s, part, page, kind, url, html, refers, sha in zip(*cols, strict=True):
                     if kind == 0:
                         note = (page, sha, refers)
                         continue
-                    if out is not None and (s != state["shard"] or state["bytes"] >= file_bytes):
-                        roll = state["roll"] + 1 if s == state["shard"] else 0
+                    if out is not None and ((s, part) != state["place"] or state["bytes"] >= file_bytes):
                         close()
-                    elif out is None:
-                        roll = state["roll"] + 1 if state.get("shard") == s else 0
                     if out is None:
-                        name = f"records-{s:06d}-{roll:05d}.warc.gz"
-                        state = {"name": name, "temp": posixpath.join(base, f".{name}.{tag}"), "shard": s, "roll": roll, "records": 0, "bytes": 0, "sha": hashlib.sha256()}
+                        roll = state["roll"] + 1 if state.get("place") == (s, part) else 0
+                        name = f"records-{s:06d}-{part:05d}-{roll:05d}.warc.gz"
+                        state = {"name": name, "temp": posixpath.join(base, f".{name}.{tag}"), "place": (s, part), "roll": roll, "records": 0, "bytes": 0, "sha": hashlib.sha256()}
                         out = fs.open_output_stream(state["temp"], compression=None)
                     payload = html.encode("utf-8", "surrogatepass")
                     refers_to = note[2] if note is not None and note[:2] == (page, sha) else None
@@ -146,12 +168,30 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     found = ordered.mapInArrow(save, "file string, shard int, records long, bytes long, sha256 string")
     temp = posixpath.join(path, "_manifest-temporary")
     found.write.mode("overwrite").parquet(temp)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(temp), jvm.org.apache.hadoop.fs.Path(posixpath.join(path, "manifest"))
-    old.getFileSystem(conf).rename(old, new)
+    old, new = _hadoop_path(spark, temp), _hadoop_path(spark, posixpath.join(path, "manifest"))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(new) or not fs.rename(old, new):
+        raise FileExistsError(f"the manifest of {path} could not be committed")
     return read_manifest(spark, path)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = _hadoop_path(spark, path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def _sha256(fs, name: str) -> str:
+    made = hashlib.sha256()
+    with fs.open_input_stream(name, compression=None) as f:
+        while part := f.read(1 << 20):
+            made.update(part)
+    return made.hexdigest()
+
+
 _FILES = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 

@@ -1,6 +1,9 @@
 import base64
 import hashlib
 import os
+import shutil
+
+import pytest
 
 from querywright.llm import warc
 from querywright.llm.common import fresh_dir
@@ -51,5 +54,38 @@ def test_unlisted_files_are_not_read(spark):
     assert warc.read(spark, path).count() == 306
 
 
+def test_a_folder_is_written_once(spark):
+    _, df = pages(spark)
+    path = fresh_dir(spark, "warc-test")
+    warc.write(df, path)
+    with pytest.raises(FileExistsError):
+        warc.write(df.limit(3), path)
+    assert warc.read(spark, path).count() == 306
+
+
+def test_left_over_files_of_other_records_are_an_error(spark):
+    """Files of an attempt without a manifest are taken where their bytes are the same, and never passed off as others."""
+    _, df = pages(spark)
+    path = fresh_dir(spark, "warc-test")
+    folder = path.removeprefix("file://")
+    warc.write(df, path)
+    shutil.rmtree(f"{folder}/manifest")
+    assert warc.write(df, path).count() and warc.read(spark, path).count() == 306
+    shutil.rmtree(f"{folder}/manifest")
+    with pytest.raises(Exception, match="holds other records"):
+        warc.write(df.filter("page_id > 3"), path)
+
+
+def test_one_id_with_a_third_of_all_records(spark):
+    """A hot id and the null id are dealt over parts; the records stay the same."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"http://h/{i}", f"<p>{i}</p>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = fresh_dir(spark, "warc-test")
+    files = [r["file"] for r in warc.write(df, path, shard_rows=20).collect()]
+    assert len({f.split("-")[2] for f in files}) >= 5
+    got = warc.read(spark, path).collect()
+    assert sorted((r["page_id"] or -1, r["url"], r["html"]) for r in got) == sorted((i or -1, u, h) for i, u, h in rows)
+
+
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
