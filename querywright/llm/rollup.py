@@ -5,17 +5,22 @@ by another. A batch is reduced to one signed row for each (source, lang, tokeniz
 that holds a third of all rows sends a few rows a task. Totals are sums over the committed batches: additive, so their
 order does not matter and late batches need no recomputation.
 
-A batch is written to a temporary folder and committed by one rename to its id's folder; a batch whose folder exists is
-skipped, so replaying a batch changes nothing. Readers read committed folders only. One writer at a time for a batch id.
+An id names a batch's changes. Each attempt at a batch writes a folder of its own below the id's and then a marker, which
+commits it; readers read one marked attempt of each id. So a batch counts once however often it is replayed and however
+many writers race for it, in any store: no rename or exclusive create is needed. A batch with a marked attempt is skipped.
 
 Defined results: null sources, languages and versions are groups of their own; null counts count as 0; groups whose totals
-are all zero are left out; an empty batch is committed too and changes nothing.
+are all zero are left out; an empty batch is committed too and changes nothing; repeated rows are changes of their own.
+corpus_rollup() reads doc_id, source, lang and the text alone, whatever other columns are called; null texts count as empty.
+Of documents with equal text that with the smallest id stays, with all rows of that id; rows with a null id stay too, as no
+order tells which of them is a copy; an empty table gives no groups.
 """
 
 from __future__ import annotations
 
 import posixpath
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +29,7 @@ from pyspark.sql.types import StructType
 from querywright.llm.bpe import encoder
 from querywright.llm.common import map_chunks
 
+MARKER = "_committed"
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -38,8 +44,16 @@ class Rollup:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(self.path, *parts))
 
+    def _folder(self, batch_id: str) -> str:
+        return posixpath.join("batches", f"id={quote(batch_id, safe='')}")
+
+    def _attempts(self, folder: str) -> list[str]:
+        """The marked attempts below a folder, in order."""
+        found = self._fs.globStatus(self._path(folder, "attempt=*", MARKER)) or []
+        return sorted(x.getPath().getParent().toString() for x in found)
+
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path("batches", f"id={batch_id}"))
+        return bool(self._attempts(self._folder(batch_id)))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch; false if it was committed before. changes: op (insert, delete, revise), source, lang, tokenizer,
@@ -50,13 +64,18 @@ class Rollup:
         docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
         tokens = F.when(F.col("op") == "insert", new).when(F.col("op") == "delete", -new).otherwise(new - old)
         delta = changes.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
-        temp = ("temporary", uuid.uuid4().hex)
-        delta.write.parquet(posixpath.join(self.path, *temp))
-        self._fs.mkdirs(self._path("batches"))
-        return bool(self._fs.rename(self._path(*temp), self._path("batches", f"id={batch_id}")))
+        folder, attempt = self._folder(batch_id), f"attempt={uuid.uuid4().hex}"
+        delta.write.parquet(posixpath.join(self.path, folder, attempt))
+        self._fs.create(self._path(folder, attempt, MARKER), True).close()
+        if posixpath.basename(self._attempts(folder)[0]) == attempt:
+            return True
+        self._fs.delete(self._path(folder, attempt), True)  # another writer's attempt counts
+        return False
 
     def totals(self) -> DataFrame:
-        rows = self.spark.read.schema(StructType.fromDDL(DELTA)).option("recursiveFileLookup", True).parquet(posixpath.join(self.path, "batches"))
+        one = {posixpath.dirname(x): x for x in reversed(self._attempts("batches/id=*"))}
+        kind = StructType.fromDDL(DELTA)
+        rows = self.spark.read.schema(kind).parquet(*one.values()) if one else self.spark.createDataFrame([], kind)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
@@ -74,8 +93,8 @@ def token_counts(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "s
 
 
 def corpus_rollup(df: DataFrame, vocabulary: str, path: str) -> DataFrame:
-    """The life of a corpus as batches: every document is inserted under two tokenizers; documents that repeat an earlier
-    one's text are deleted from both; the second tokenizer's counts of the rest are revised by a closing token; the first
+    """The life of a corpus as batches: every document is inserted under two tokenizers; documents that repeat the text
+    of one with a smaller id are deleted from both; the second tokenizer's counts of the rest are revised by a closing token; the first
     batches come again and change nothing."""
     from querywright.llm.common import stored
 

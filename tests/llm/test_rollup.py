@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from querywright.llm import rollup
@@ -29,6 +31,36 @@ def test_unfinished_batches_do_not_count(spark):
     assert totals(store) == {("s", "en", "v1"): (1, 10)}
 
 
+def test_writers_that_race_count_once(spark):
+    """Each writer sees no committed attempt before it writes; one attempt counts afterwards."""
+    path = fresh_dir(spark, "rollup-test")
+    changes = spark.createDataFrame([("insert", "s", "en", "v1", 10, None)], CHANGE)
+
+    class Late(rollup.Rollup):
+        def committed(self, batch_id):
+            return False
+
+    assert rollup.Rollup(spark, path).commit("a/b c", changes)
+    first = rollup.Rollup(spark, path)
+    assert first.committed("a/b c") and not first.committed("a")
+    for _ in range(3):
+        Late(spark, path).commit("a/b c", changes)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: Late(spark, path).commit("c", changes), range(4)))
+    assert totals(first) == {("s", "en", "v1"): (2, 20)}
+
+
+def test_corpus_edge_rows(spark):
+    """Null ids, sources and texts, ties of ids, clashing columns, an empty table and one very long text."""
+    public = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (2, "a b", None, "en"), (None, "a b", "s", None), (None, None, "s", "en"), (3, None, "s", "en"), (4, "", "s", "en"), (5, "word " * 200_000, "s", "en")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, lang string, n_tokens long")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in rollup.corpus_rollup(df, public, fresh_dir(spark, "rollup-test")).collect()}
+    assert got[("s", "en", "words-1")] == (5, 2 + 2 + 0 + 0 + 200_000) and got[("s", None, "words-1")] == (1, 2)
+    assert (None, "en", "words-1") not in got and got[("s", "en", "bpe50k-1")][0] == 5
+    assert rollup.corpus_rollup(df.limit(0), public, fresh_dir(spark, "rollup-test")).count() == 0
+
+
 def test_corpus(spark, data):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
