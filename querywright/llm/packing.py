@@ -4,11 +4,16 @@ Only lengths matter to a packing, so the plan is made from their histogram, of `
 A bin is filled greedily, longest piece first; then its smallest document goes back if two unpacked ones fit the gap that
 it leaves more tightly. A bin's contents are repeated as often as the histogram allows, so the plan is a list of patterns
 with multiplicities. A length's pieces are numbered (range-sorted, so that a length that a third of all pieces share is
-spread over tasks), and number n of a length finds its sequence and offset in the plan.
+spread over tasks), and number n of a length finds its sequence and offset in the plan. The numbers are checkpointed with
+the pieces, so places do not depend on how a later plan deals the rows out.
+
+Ties: of equal pairs of documents that may replace a bin's smallest one, the pair with the smallest first length is taken;
+pieces of one length are numbered by id and piece, and those that agree in both (repeated rows) in any order.
 
 Defined results: a null text counts as empty and has one piece, the closing token. A document longer than the cap is cut
-into pieces of the cap, the first of which may be shorter. Repeated rows are separate documents. An empty table gives an
-empty result.
+into pieces of the cap, the first of which may be shorter. Repeated rows and rows with a null id are separate documents. An
+empty table gives an empty result. Columns sequence_id and offset of a table given to pack() are replaced; its other columns
+stay. best_two_fit() reads the id and the text alone, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -18,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from querywright.llm.bpe import encoder
-from querywright.llm.common import cut, map_chunks, stored
+from querywright.llm.common import cut, map_chunks, spare, stored
 
 CAP = 2048
 
@@ -110,38 +114,43 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def pack(df: DataFrame, cap: int = CAP) -> DataFrame:
-    """The rows of `df` (with a column length, 1 to cap) with sequence_id and offset."""
-    rows = stored(df, "pieces")
+    """The rows of `df` (with a column length, 1 to cap) with sequence_id and offset. Sorted by doc_id and piece where it has them."""
+    row = spare(df, "_row")
+    rows = stored(df.drop("sequence_id", "offset"), "pieces")
+    order = ["length", *[c for c in ("doc_id", "piece") if c in rows.columns]]
     # A piece of the cap's length is a sequence of its own, numbered below zero.
     whole = rows.filter(F.col("length") >= cap).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    ordered = cut(rows.filter(F.col("length") < cap).repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece"))
-    # Range-sorted by length: at most one row for each length and one for each partition.
-    sizes = ordered.groupBy(F.spark_partition_id().alias("p"), "length").agg(F.count(F.lit(1)).alias("n")).collect()
+    numbered = rows.filter(F.col("length") < cap).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())
+    ordered = cut(numbered)
+    # Range-sorted by length: at most one run of row numbers for each length and one for each partition.
+    part = F.shiftright(row, 33).alias("p")
+    runs = sorted((r["length"], r["first"], r["n"]) for r in ordered.groupBy("length", part).agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).collect())
     counts = np.zeros(cap + 1, dtype=np.int64)
-    first: dict[tuple[int, int], int] = {}
-    for p, n, k in sorted(tuple(r) for r in sizes):
-        first[p, n] = int(counts[n])
+    first: dict[int, list[tuple[int, int]]] = {}  # for each length, where its runs of row numbers begin, and the pieces before
+    for n, begin, k in runs:
+        first.setdefault(n, []).append((begin, int(counts[n])))
         counts[n] += k
-    plans = df.sparkSession.sparkContext.broadcast((first, places(plan(counts))))
-    schema = StructType(ordered.schema.fields + StructType.fromDDL("sequence_id long, offset long").fields)
-    at = ordered.columns.index("length")
+    begins = {n: tuple(np.array(x, dtype=np.int64) for x in zip(*r, strict=True)) for n, r in first.items()}
+    plans = df.sparkSession.sparkContext.broadcast((begins, places(plan(counts))))
+    schema = StructType([f for f in ordered.schema.fields if f.name != row] + StructType.fromDDL("sequence_id long, offset long").fields)
+    at, number_at = ordered.columns.index("length"), ordered.columns.index(row)
+    keep = [i for i in range(len(ordered.columns)) if i != number_at]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, where = plans.value
-        p = TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
+        begins, where = plans.value
         for batch in batches:
-            lengths = batch.column(at).to_numpy()
+            lengths, rows = batch.column(at).to_numpy(), batch.column(number_at).to_numpy()
             sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
             edge = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1], [True]])) if len(lengths) else [0]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 n = int(lengths[a])
-                number = first[p, n] + seen.get(n, 0) + np.arange(b - a)
-                seen[n] = seen.get(n, 0) + int(b - a)
+                begin, before = begins[n]
+                run = np.searchsorted(begin, rows[a:b], side="right") - 1
+                number = before[run] + rows[a:b] - begin[run]
                 begin, seq, off = where[n]
                 run = np.searchsorted(begin, number, side="right") - 1
                 sequence[a:b], offset[a:b] = seq[run] + number - begin[run], off[run]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(sequence), pa.array(offset)], names=[f.name for f in schema])
 
     return ordered.mapInArrow(place, schema).unionByName(whole)
 

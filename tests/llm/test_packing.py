@@ -72,6 +72,60 @@ def test_query(spark):
     assert packing.best_two_fit(df.limit(0), packing_path()).count() == 0
 
 
+def test_places_do_not_depend_on_the_plan_around(spark):
+    """As the second side of a union, and with partitions put together, the same places; columns of these names are replaced."""
+    rows = [(i, 0, 1 + i * 37 % 64, "x", 5) for i in range(300)] + [(None, 0, 10, "x", 5), (7, 0, 9, "again", 5), (7, 0, 9, "again", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string, offset int").repartition(7)
+    made = packing.pack(df, 64)
+    other = made.limit(0).unionByName(spark.createDataFrame([(None, -1, None, None, None)] * 5, made.schema).repartition(3))
+    for plan in (made, other.unionByName(made).filter("piece = 0"), made.coalesce(1), made.repartition(5)):
+        got = plan.collect()
+        assert sorted(r["length"] for r in got) == sorted(r[2] for r in rows)
+        bins: dict = {}
+        for r in got:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for found in bins.values():
+            at = 0
+            for offset, length in sorted(found):
+                assert offset == at
+                at += length
+            assert at <= 64
+
+
+def brute_best_two_fit(lengths, cap):
+    """The method over single pieces: greedy, longest first; the smallest document goes back if two fit its gap more tightly."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        found, gap = [left.pop(0)], cap
+        gap -= found[0]
+        for n in list(left):
+            if n <= gap:
+                left.remove(n)
+                found.append(n)
+                gap -= n
+        if gap and len(found) > 1:
+            least = found[-1]
+            pool = sorted([*left, least])
+            pairs = [(x + y, -x) for i, y in enumerate(pool) for x in pool[i + 1 :] if x + y <= gap + least]
+            if pairs and max(pairs)[0] > least:
+                x = -max(pairs)[1]
+                y = max(pairs)[0] - x
+                left.append(least)
+                left.remove(x)
+                left.remove(y)
+                left.sort(reverse=True)
+        bins += 1
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_as_short_as_the_method_over_single_pieces(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 64) for _ in range(rng.choice([5, 60, 250]))]
+    counts = np.bincount(lengths, minlength=65).astype(np.int64)
+    assert sum(t for _, t in packing.plan(counts)) <= brute_best_two_fit(lengths, 64) + 1
+
+
 def packing_path():
     from querywright.llm.bpe import default_path
 
