@@ -17,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session whose executors are
+    threads of the driver (master local) gets a folder of its own; on a cluster that is an error, as no folder of one
+    machine will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
