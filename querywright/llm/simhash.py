@@ -37,6 +37,8 @@ from querywright.llm.common import cut, map_chunks, sized, spare, stored
 SEED = 42
 STEP_BITS = 8
 LEAF, FAN = 32, 16
+#: A node's rows that are searched for before their links are merged, and the candidates held for each level meanwhile.
+QUERIES, CANDIDATES = 1024, 1 << 17
 
 
 def shingle_hashes(text: str | None, ngram: int) -> np.ndarray:
@@ -102,43 +104,62 @@ class Hierarchy:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        every, some = self._fold(codes, codes, LEAF)
+        every, some = _fold(np.bitwise_and, codes, LEAF), _fold(np.bitwise_or, codes, LEAF)
         self.levels = [(every, some)]
         while len(every) > FAN:
-            every, some = self._fold(every, some, FAN)
+            every, some = _fold(np.bitwise_and, every, FAN), _fold(np.bitwise_or, some, FAN)
             self.levels.append((every, some))
-
-    @staticmethod
-    def _fold(every: np.ndarray, some: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(0, len(every), size)
-        return np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
-
-    def search(self, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query index, code index) with at most `limit` differing bits."""
-        found_q, found_c = [], []
-        for lo in range(0, len(queries), 1024):
-            q = queries[lo : lo + 1024]
-            n = len(self.levels[-1][0])
-            at_q, at_n = np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
-            for level in range(len(self.levels) - 1, -1, -1):
-                every, some = self.levels[level]
-                agree = ~(every[at_n] ^ some[at_n])  # bits that all members of the group share
-                near = np.bitwise_count((q[at_q] ^ every[at_n]) & agree) <= limit
-                at_q, at_n = at_q[near], at_n[near]
-                size, most = (FAN, len(self.levels[level - 1][0])) if level else (LEAF, len(self.codes))
-                at_q = np.repeat(at_q, size)
-                at_n = (at_n[:, None] * size + np.arange(size)).ravel()
-                inside = at_n < most
+        self.joined: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(self, labels: np.ndarray) -> None:
+        """From now on codes are passed by if they have the query's label; so are groups whose members all have it."""
+        low = high = labels
+        self.joined = [(low, high)]
+        for level in range(len(self.levels)):
+            size = FAN if level else LEAF
+            low, high = _fold(np.minimum, low, size), _fold(np.maximum, high, size)
+            self.joined.append((low, high))
+
+    def search(self, queries: np.ndarray, limit: int, labels: np.ndarray | None = None, most: int = CANDIDATES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (query index, code index) with at most `limit` differing bits, piece by piece. About `most` candidates are
+        held for each level, however many there are: a piece whose members have more is cut before it is gone into."""
+        top = len(self.levels)
+        # (level whose groups are at hand, query and group of each candidate); above the top level there is one group.
+        stack = [(top, np.arange(a, min(a + most, len(queries))), None) for a in range(0, len(queries), most)]
+        while stack:
+            level, at_q, at_n = stack.pop()
+            size = len(self.levels[-1][0]) if level == top else FAN if level else LEAF
+            below = len(self.levels[level - 1][0]) if level else len(self.codes)
+            step = max(1, most // size)
+            if len(at_q) > step:
+                stack += [(level, at_q[a : a + step], None if at_n is None else at_n[a : a + step]) for a in range(0, len(at_q), step)]
+                continue
+            at_n = (np.arange(size)[None, :] + (np.zeros(len(at_q), dtype=np.int64) if at_n is None else at_n)[:, None] * size).ravel()
+            at_q = np.repeat(at_q, size)
+            if level < top:
+                inside = at_n < below
                 at_q, at_n = at_q[inside], at_n[inside]
-            near = np.bitwise_count(q[at_q] ^ self.codes[at_n]) <= limit
-            found_q.append(at_q[near] + lo)
-            found_c.append(at_n[near])
-        return np.concatenate(found_q), np.concatenate(found_c)
-
-
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each one's component, by repeated minima and pointer jumps."""
-    label = np.arange(n)
+            if level:
+                every, some = (x[at_n] for x in self.levels[level - 1])
+                near = np.bitwise_count((queries[at_q] ^ every) & ~(every ^ some)) <= limit  # bits that all members share
+            else:
+                near = np.bitwise_count(queries[at_q] ^ self.codes[at_n]) <= limit
+            if labels is not None and self.joined:
+                low, high = (x[at_n] for x in self.joined[level])
+                near &= (low != high) | (low != labels[at_q])
+            at_q, at_n = at_q[near], at_n[near]
+            if len(at_q) and level:
+                stack.append((level - 1, at_q, at_n))
+            elif len(at_q):
+                yield at_q, at_n
+
+
+def _fold(how: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
+    return how.reduceat(values, np.arange(0, len(values), size))
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member of each one's component) after a and b are linked, by repeated minima and pointer jumps."""
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -154,32 +175,42 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(node: np.ndarray, code: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that link, for rows sorted by node and Gray rank; of two visitors, none."""
+def _linked(node: np.ndarray, code: np.ndarray, home: np.ndarray, limit: int) -> np.ndarray:
+    """For rows sorted by node and Gray rank, the smallest row that each is linked to within its node; of two visitors, no
+    link is sought. Links become labels as they are found, so no list of a node's pairs exists."""
     edge = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
     size = np.diff(edge)
-    rows_a, rows_b = [], []
+    label = np.arange(len(node))
     small = np.repeat(size <= LEAF, size)
     for lag in range(1, int(min(LEAF, size.max()))):
         a = np.flatnonzero(small[:-lag] & (node[lag:] == node[:-lag]))
-        near = (np.bitwise_count(code[a] ^ code[a + lag]) <= limit) & (home[a] | home[a + lag])
-        rows_a.append(a[near])
-        rows_b.append(a[near] + lag)
+        a = a[(np.bitwise_count(code[a] ^ code[a + lag]) <= limit) & (home[a] | home[a + lag])]
+        if len(a):
+            label = _merged(label, a, a + lag)
     for k in np.flatnonzero(size > LEAF):
         lo, hi = edge[k], edge[k + 1]
-        own = np.flatnonzero(home[lo:hi]) + lo
+        own = np.flatnonzero(home[lo:hi])
         if len(own):
-            q, c = Hierarchy(code[own]).search(code[lo:hi], limit)
-            a, b = q + lo, own[c]
-            keep = (a != b) & (~home[a] | (a < b))
-            rows_a.append(a[keep])
-            rows_b.append(b[keep])
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *rows_a]), np.concatenate([empty, *rows_b])
+            label[lo:hi] = lo + _linked_node(code[lo:hi], own, limit)
+    return label
+
+
+def _linked_node(code: np.ndarray, own: np.ndarray, limit: int) -> np.ndarray:
+    """The labels of one node's rows. Rows are queries in blocks; a block's links are merged before the next one starts,
+    and what is joined already is not compared again. Near copies of one text so cost little more than their number."""
+    index, label = Hierarchy(code[own]), np.arange(len(code))
+    for lo in range(0, len(code), QUERIES):
+        index.join(label[own])
+        block = slice(lo, lo + QUERIES)
+        found = list(index.search(code[block], limit, label[block]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            label = _merged(label, a + lo, own[b])
+    return label
 
 
 def _node_edges(limit: int, flush: int = 200_000):
-    """Task over rows (node key, rank, fp, home) sorted by node and rank: edges (a, b) with a > b, one for each linked
+    """Task over rows (node key, fp, home) sorted by node and rank: edges (a, b) with a > b, one for each linked
     fingerprint of a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +218,14 @@ def _node_edges(limit: int, flush: int = 200_000):
             node, code, home = rows
             if len(node) < 2:
                 return None
-            a, b = _links(node, code, home, limit)
-            if not len(a):
-                return None
             # The same fingerprint may stand in several nodes of a batch: labels stay within a node, as links do.
-            label = _labels(len(node), a, b)
+            label = _linked(node, code, home, limit)
             root = np.full(len(node), np.iinfo(np.int64).max)
             fp = code.view(np.int64)
             np.minimum.at(root, label, fp)
             u, v = fp, root[label]
             some = u != v
-            return pa.RecordBatch.from_arrays([pa.array(u[some]), pa.array(v[some])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(u[some]), pa.array(v[some])], names=["a", "b"]) if some.any() else None
 
         held: list[list[np.ndarray]] = []
         size = 0
@@ -258,16 +286,18 @@ def _gray(name: str) -> Column:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node with an edge; the root is the smallest node that it reaches. Alternating large-star and
-    small-star steps; each round's edges are checkpointed, and only their number and a checksum reach the driver."""
+    small-star steps; each round's edges are checkpointed, and only their number and a checksum reach the driver. The least
+    neighbours are checkpointed before they are joined: a join of two plain shuffles can split the partition of a node that
+    a large family has its edges at."""
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(e)
     while seen[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.join(low, both["a"] == low["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        large = cut(large.distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         joined = large.join(low, large["a"] == low["u"])
         small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         more = joined.filter("b <> m").select("a", F.col("m").alias("b"))

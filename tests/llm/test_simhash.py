@@ -46,9 +46,43 @@ def test_hierarchy_finds_all_and_only_near_codes():
     base = rng.integers(0, 1 << 62, 12, dtype=np.uint64)
     codes = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 8, 300, dtype=np.uint64)) for b in base]))
     codes = codes[np.argsort(S.gray_rank(codes))]
-    q, c = S.Hierarchy(codes).search(codes, 2)
     a, b = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2)
-    assert set(zip(q.tolist(), c.tolist(), strict=True)) == set(zip(a.tolist(), b.tolist(), strict=True))
+    want = sorted(zip(a.tolist(), b.tolist(), strict=True))
+    for most in (1 << 17, 5000, 40, 1):
+        found = [x for q, c in S.Hierarchy(codes).search(codes, 2, most=most) for x in zip(q.tolist(), c.tolist(), strict=True)]
+        assert sorted(found) == want
+
+
+def dense_codes(n, flips, seed=1):
+    """Different codes that are up to `flips` bits from one."""
+    rng = np.random.default_rng(seed)
+    x = np.full(n * 2, np.uint64(0x123456789ABCDEF0))
+    many = rng.integers(0, flips + 1, n * 2)
+    for i in range(flips):
+        x = np.where(many > i, x ^ (np.uint64(1) << rng.integers(0, 43, n * 2, dtype=np.uint64)), x)
+    codes = rng.permutation(np.unique(x))[:n]
+    return codes[np.argsort(S.gray_rank(codes))]
+
+
+def test_labels_of_a_dense_node():
+    """Labels that prune the search are those of all pairs; visitors link to homes alone."""
+    codes = dense_codes(3000, 9)
+    home = np.random.default_rng(2).random(len(codes)) < 0.7
+    got = S._linked(np.zeros(len(codes), dtype=np.int64), codes, home, 2)
+    a, b = np.nonzero((np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2) & (home[:, None] | home[None, :]))
+    assert (got == S._merged(np.arange(len(codes)), a, b)).all() and len(np.unique(got)) > 10
+
+
+def test_memory_of_a_dense_node():
+    """The largest node that is not split, of fingerprints with millions of links, in a few dozen MB."""
+    import tracemalloc
+
+    codes = dense_codes(1 << 16, 5)
+    tracemalloc.start()
+    label = S._linked(np.zeros(len(codes), dtype=np.int64), codes, np.ones(len(codes), dtype=bool), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and (label == label[0]).mean() > 0.9
 
 
 @pytest.mark.parametrize("node_rows", [1 << 16, 40, 8])
