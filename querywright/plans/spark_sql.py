@@ -28,24 +28,43 @@ def ident(n: Name | str) -> str:
     return "`" + (n.text if isinstance(n, Name) else n).replace("`", "``") + "`"
 
 
-def to_spark(text: str, dialect: str = "postgresql") -> str:
-    """Spark SQL for one statement."""
+def to_spark(text: str, dialect: str = "postgresql", catalog=None) -> str:
+    """Spark SQL for one statement. The catalog's types tell which divisions are of integers; without one, literals, casts and
+    functions alone do."""
+    from querywright.plans.integers import mark_integer_divisions
+
     found = parse(text, dialect)
     if len(found) != 1:
         raise SqlError(f"expected one statement, found {len(found)}")
+    if dialect_of(dialect) != "mysql":
+        mark_integer_divisions(found[0], catalog)
     return Printer(dialect_of(dialect)).statement(found[0])
 
 
 def run(spark: SparkSession, text: str, dialect: str = "postgresql", args=None) -> DataFrame:
-    """Runs a query of another dialect; $1 is args[0], :name is args["name"]."""
+    """Runs a query of another dialect; $1 is args[0], :name is args["name"]. The types of the session's tables tell which
+    divisions are of integers."""
+    from querywright.plans.integers import session_catalog
+
     if isinstance(args, (list, tuple)) and "$" in text:
         args = {f"p{i}": v for i, v in enumerate(args, 1)}
-    return spark.sql(to_spark(text, dialect), args=args)
+    found = parse(text, dialect)
+    return spark.sql(to_spark(text, dialect, session_catalog(spark, found)), args=args)
+
+
+class Frame:
+    """What one SELECT's FROM names, and the columns of further out that it passes to the queries in it."""
+
+    def __init__(self, outer: Frame | None, aliases: list[str]):
+        self.outer, self.aliases, self.hidden = outer, {a.lower() for a in aliases}, []
+        self.listed, self.passed, self.name = aliases, {}, ""
 
 
 class Printer:
     def __init__(self, dialect: str = "postgresql"):
         self.dialect, self.made = dialect, 0
+        self.frame: Frame | None = None
+        self.value = False  # whether what is printed is a value, not a condition that rows have to meet
 
     def fresh(self, stem: str) -> str:
         self.made += 1
@@ -63,7 +82,7 @@ class Printer:
         if q.ctes:
             parts = [f"{ident(c.name)}{self.names(c.columns)} AS ({self.statement(c.body)})" for c in q.ctes]
             head = f"WITH {'RECURSIVE ' if q.recursive else ''}{', '.join(parts)} "
-        if q.body.kind == "select" and (q.body.distinct_on or q.body.qualify is not None or q.ties):
+        if q.body.kind == "select" and (q.body.distinct_on or q.body.qualify is not None or q.ties or any(group_frames(o.kids[0]) for o in q.order_by or [])):
             return head + self.filtered(q)
         return head + self.body(q.body) + self.tail(q)
 
@@ -78,16 +97,19 @@ class Printer:
         return out
 
     def filtered(self, q: Node) -> str:
-        """DISTINCT ON, QUALIFY and FETCH ... WITH TIES: a window in a subquery, then a filter and the same order."""
+        """DISTINCT ON, QUALIFY, FETCH ... WITH TIES and an order by GROUPS frames: windows in a subquery, then a filter and the
+        same order."""
         s, name = q.body, self.fresh("keep")
-        order = self.orders(q.order_by) if q.order_by else ""
+        order = self.orders(q.order_by) if q.order_by and not any(group_frames(o.kids[0]) for o in q.order_by) else ""
         if s.distinct_on:
             on = ", ".join(map(self.expr, s.distinct_on))
-            keep, test = f"row_number() OVER (PARTITION BY {on} ORDER BY {order or on})", "= 1"
+            keep, test = Node("raw", text=f"row_number() OVER (PARTITION BY {on} ORDER BY {order or on})"), "= 1"
         elif q.ties:
-            keep, test = f"rank() OVER (ORDER BY {order})", f"<= {self.expr(q.limit)}"
+            keep, test = Node("raw", text=f"rank() OVER (ORDER BY {order})"), f"<= {self.expr(q.limit)}"
+        elif s.qualify is not None:
+            keep, test = s.qualify, ""
         else:
-            keep, test = self.expr(s.qualify), ""
+            keep, test = Node("bool", text="true"), ""
         aliased, extra, outer = {}, [], []
         for o in q.order_by or []:  # the outer order needs the sort keys by name
             e = o.kids[0]
@@ -98,13 +120,13 @@ class Printer:
                 continue
             if known is None:
                 known = aliased.setdefault(text, self.fresh("o"))
-                extra.append(f"{text} AS {ident(known)}")
+                extra.append(Node("item", kids=[e], alias=Name(known, True, Span())))
             outer.append(self.order(o, ident(known)))
         if s.qualify is not None:  # names of items that the condition uses
             items = {i.alias.text.lower(): i.kids[0] for i in s.items if i.alias}
-            keep = self.expr(_replaced(s.qualify, items))
+            keep = _replaced(s.qualify, items)
         drop = [name, *aliased.values()]
-        inner = self.select(s, extra + [f"{keep} AS {ident(name)}"])
+        inner = self.select(s, [*extra, Node("item", kids=[keep], alias=Name(name, True, Span()))])
         out = f"SELECT * EXCEPT ({', '.join(map(ident, drop))}) FROM ({inner}) WHERE {ident(name)} {test}"
         if outer:
             if aliased:  # sort before the keys go
@@ -132,46 +154,71 @@ class Printer:
             return f"({self.query(b)})"
         raise SqlError(f"{b.kind} is not a query")
 
-    def select(self, s: Node, more: list[str] | None = None) -> str:
-        s = self.without_groups(s)
-        items = [self.item(i) for i in s.items] + (more or [])
-        out = f"SELECT {'DISTINCT ' if s.distinct and not s.distinct_on else ''}{', '.join(items)}"
-        if s.from_:
-            out += " FROM " + ", ".join(self.table(t, i > 0) for i, t in enumerate(s.from_))
-        if s.where is not None:
-            out += f" WHERE {self.expr(s.where)}"
-        if s.group_all:
-            out += " GROUP BY ALL"
-        elif s.group_by:
-            out += " GROUP BY " + ", ".join(map(self.group, s.group_by))
-        if s.having is not None:
-            out += f" HAVING {self.expr(s.having)}"
-        if s.windows:
-            out += " WINDOW " + ", ".join(f"{ident(w.name)} AS {self.window(w.spec)}" for w in s.windows)
-        return out
+    def select(self, s: Node, more: list[Node] | None = None) -> str:
+        self.frame = frame = Frame(self.frame, [a for t in s.from_ or [] for a in table_aliases(t)])
+        value, self.value = self.value, False
+        try:
+            if more:
+                s = Node("select", s.span, **{**s.fields, "items": [*s.items, *more]})
+            s = self.without_groups(s)
+            tables = [self.table(t, i > 0) for i, t in enumerate(s.from_ or [])]
+            tail = f" WHERE {self.expr(s.where)}" if s.where is not None else ""
+            if s.group_all:
+                tail += " GROUP BY ALL"
+            elif s.group_by:
+                tail += " GROUP BY " + ", ".join(map(self.group, s.group_by))
+            if s.having is not None:
+                tail += f" HAVING {self.expr(s.having)}"
+            if s.windows:
+                tail += " WINDOW " + ", ".join(f"{ident(w.name)} AS {self.window(w.spec)}" for w in s.windows)
+            self.value = True
+            items = [(i, None if i.kids[0].kind == "star" else self.item(i)) for i in s.items]
+            shown = [text if text is not None else self.item(i) for i, text in items]  # stars last: all that is passed is known then
+            if frame.passed:
+                tables.insert(0, self.passed(frame))
+            return f"SELECT {'DISTINCT ' if s.distinct and not s.distinct_on else ''}{', '.join(shown)}{' FROM ' if tables else ''}{', '.join(tables)}{tail}"
+        finally:
+            self.frame, self.value = frame.outer, value
+
+    def passed(self, frame: Frame) -> str:
+        """One row of the columns of further out that queries inside name: Spark lets a query see the next one out alone."""
+        return f"(SELECT {', '.join(f'{text} AS {ident(n)}' for n, text in frame.passed.values())}) AS {ident(frame.name)}"
 
     def without_groups(self, s: Node) -> Node:
-        """GROUPS frames: the groups are numbered below, then a RANGE frame runs over the numbers."""
-        calls = [x for i in s.items for x in i.kids[0].walk() if x.kind == "call" and x.over is not None and x.over.frame and x.over.frame[0] == "GROUPS"]
-        if not calls or not s.from_ or len(s.from_) != 1:
+        """GROUPS frames: the groups are numbered below, then a RANGE frame runs over the numbers. Below, each table is a
+        column too, so that its qualified names hold."""
+        calls = [x for i in s.items for x in group_frames(i.kids[0])]
+        if not calls:
             return s
-        t = s.from_[0]
-        name = t.alias or (t.names[-1] if t.names else None)
+        if not s.from_:
+            raise SqlError("a GROUPS frame needs a table")
+        if s.group_by or s.group_all or s.having is not None:
+            raise SqlError("a GROUPS frame over groups is not run; group in a subquery")
         numbers = []
         for c in calls:
             w, n = c.over, self.fresh("g")
-            numbers.append(f"dense_rank() OVER ({self.partition(w)}ORDER BY {self.orders(w.order_by)}) AS {ident(n)}")
+            if w.base is not None or not w.order_by:
+                raise SqlError("a GROUPS frame needs an order of its own")
+            numbers.append((n, f"dense_rank() OVER ({self.partition(w)}ORDER BY {self.orders(w.order_by)}) AS {ident(n)}"))
             order = [Node("order", kids=[Node("column", names=[Name(n, True, Span())])], desc=False, nulls="")]
             c.fields["over"] = Node("window_spec", partition=w.partition, order_by=order, frame=("RANGE", *w.frame[1:]))
         where = f" WHERE {self.expr(s.where)}" if s.where is not None else ""
-        text = f"(SELECT *, {', '.join(numbers)} FROM {self.table(t, False)}{where})" + (f" AS {ident(name)}" if name else "")
+        aliases = self.frame.listed
+        rows = [f"struct({ident(a)}.*) AS {ident(a)}" for a in aliases]
+        tables = ", ".join(self.table(t, i > 0) for i, t in enumerate(s.from_))
+        text = f"(SELECT *, {', '.join([*rows, *(x for _, x in numbers)])} FROM {tables}{where})"
+        self.frame.hidden += [*aliases, *(n for n, _ in numbers)]
         return Node("select", s.span, **{**s.fields, "from_": [Node("raw", text=text)], "where": None})
 
     def item(self, i: Node) -> str:
         e = i.kids[0]
         if e.kind == "star":
+            frame = self.frame
+            if not e.names and frame is not None and frame.passed and not frame.hidden:
+                return ", ".join(f"{ident(a)}.*" for a in frame.listed)
             out = "".join(ident(n) + "." for n in e.names or []) + "*"
-            return out + (f" EXCEPT ({', '.join(map(ident, e.except_))})" if e.except_ else "")
+            drop = [*(e.except_ or []), *(frame.hidden if frame is not None and not e.names else [])]
+            return out + (f" EXCEPT ({', '.join(map(ident, drop))})" if drop else "")
         return self.expr(e) + (f" AS {ident(i.alias)}" if i.alias else "")
 
     def group(self, g: Node) -> str:
@@ -206,8 +253,11 @@ class Printer:
         if t.kind == "nested":
             return self.aliased(f"({self.table(t.table)})", t)
         if t.kind == "derived":
-            q = t.query
-            inner = self.query(q)
+            frame = self.frame
+            if frame is not None and not t.lateral:  # sees what the query around sees, and not its neighbours
+                self.frame = frame.outer
+            inner = self.query(t.query)
+            self.frame = frame
             return self.aliased(f"{'LATERAL ' if t.lateral else ''}({inner})", t)
         if t.kind == "pivot":
             return self.aliased(f"{self.table(t.table, beside)} {t.word} {t.text}", t)
@@ -248,26 +298,69 @@ class Printer:
         return text + (f" ON {self.expr(t.on)}" if t.on is not None else "")
 
     def asof(self, t: Node, beside: bool) -> str:
-        """The nearest row of the right table by the one inequality; operators.temporal.asof_join does it by one sort."""
-        parts, tests = [t.on] if t.on is not None else [], []
-        while parts:
-            e = parts.pop()
-            if e.kind == "nested":
-                parts.append(e.kids[0])
-            elif e.kind == "binary" and e.op == "AND":
-                parts += e.kids
-            else:
-                tests.append(e)
+        """The nearest row of the right table by the one inequality. With an equality, both sides are put under each other and
+        read once in order, one shuffle and one sort; without one, or where a condition mixes both sides otherwise, each
+        left row asks for its nearest."""
+        tests = conjuncts(t.on)
         match = t.match or next((e for e in tests if e.kind == "binary" and e.op in ("<", "<=", ">", ">=")), None)
         if match is None or match.kind != "binary":
             raise SqlError("an ASOF join needs an inequality")
         right = t.right.alias or t.right.names[-1]
         theirs, down = (match.kids[1], match.op[0] == ">") if any(x.kind == "column" and len(x.names) > 1 and x.names[0].text.lower() == right.text.lower() for x in match.kids[1].walk()) else (match.kids[0], match.op[0] == "<")
+        if (text := self.asof_by_sort(t, match, tests, right, theirs, down)) is not None:
+            return text
         where = " AND ".join(self.expr(e) for e in [*([t.match] if t.match is not None else []), *tests]) or "true"
         using = "".join(f" AND {self.table_name(t.left)}.{ident(c)} = {ident(right)}.{ident(c)}" for c in t.using or [])
         inner = f"SELECT * FROM {self.table(t.right)} WHERE {where}{using} ORDER BY {self.expr(theirs)} {'DESC' if down else 'ASC'} LIMIT 1"
         return f"{self.table(t.left, beside)} {'LEFT' if kind_left(t) else 'INNER'} JOIN LATERAL ({inner}) AS {ident(right)} ON true"
 
+    def asof_by_sort(self, t: Node, match: Node, tests: list[Node], right: Name, theirs: Node, down: bool) -> str | None:
+        if t.left.kind not in ("table", "derived") or t.right.kind not in ("table", "derived") or t.left.kind == "derived" and t.left.alias is None:
+            return None
+        left = t.left.alias or t.left.names[-1]
+        side = {left.text.lower(): "left", right.text.lower(): "right"}
+
+        def of(e: Node) -> str | None:
+            """The side that an expression's columns are of; None if that cannot be told, or of both."""
+            found = {side.get(x.names[-2].text.lower()) if len(x.names) > 1 else None for x in e.walk() if x.kind == "column"}
+            return found.pop() if len(found) == 1 and not any(x.query is not None for x in e.walk()) else None
+
+        ours = match.kids[0] if theirs is match.kids[1] else match.kids[1]
+        if of(ours) != "left" or of(theirs) != "right":
+            return None
+        keys = [(f"{ident(left)}.{ident(c)}", f"{ident(right)}.{ident(c)}") for c in t.using or []]
+        only: dict[str, list[str]] = {"left": [], "right": []}
+        for e in tests:
+            if e is match:
+                continue
+            sides = [of(k) for k in e.kids] if e.kind == "binary" and e.op == "=" else []
+            if sorted(map(str, sides)) == ["left", "right"]:
+                a, b = e.kids if sides[0] == "left" else reversed(e.kids)
+                keys.append((self.expr(a), self.expr(b)))
+            elif (s := of(e)) is not None:
+                only[s].append(self.expr(e))
+            else:
+                return None
+        if not keys:
+            return None
+        names = [f"__k{i}" for i in range(len(keys))]
+        ks = ", ".join(f"{{}} AS {ident(n)}" for n in names)
+        l_name, r_name = ident(left), ident(right)
+        first, last = (2, 1) if match.op in ("<=", ">=") else (1, 2)  # rows of one time: whether the right one comes first
+        usable = " AND ".join([*(f"{b} IS NOT NULL" for _, b in keys), f"{self.expr(theirs)} IS NOT NULL", *only["right"]])
+        ok = " AND ".join(only["left"]) or "true"
+        lines = (
+            f"SELECT struct({l_name}.*) AS {l_name}, NULL AS {r_name}, {ks.format(*(a for a, _ in keys))}, {self.expr(ours)} AS `__t`, {first} AS `__late`, ({ok}) AS `__ok` FROM {self.table(t.left)}",
+            f"SELECT NULL, struct({r_name}.*), {', '.join(b for _, b in keys)}, {self.expr(theirs)}, {last}, false FROM {self.table(t.right)} WHERE {usable}",
+        )
+        order = f"PARTITION BY {', '.join(map(ident, names))} ORDER BY `__t` {'ASC' if down else 'DESC'} NULLS FIRST, `__late`, {r_name}"
+        nearest = f"last_value({r_name}) IGNORE NULLS OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        rows = f"SELECT {l_name}, CASE WHEN `__ok` THEN {nearest} END AS {r_name} FROM ({' UNION ALL '.join(lines)})"
+        some = f"{l_name} IS NOT NULL" + ("" if kind_left(t) else f" AND {r_name} IS NOT NULL")
+        if self.frame is not None:
+            self.frame.hidden += [left.text, right.text]
+        return f"(SELECT {l_name}.*, {r_name}.*, {l_name}, {r_name} FROM ({rows}) WHERE {some})"
+
     def table_name(self, t: Node) -> str:
         return ident(t.alias or t.names[-1])
 
@@ -300,8 +393,26 @@ class Printer:
         return e.text
 
     def _column(self, e):
+        if self.frame is not None and len(e.names) > 1:
+            return self.reached(self.frame, e.names)
         return ".".join(map(ident, e.names))
 
+    def reached(self, frame: Frame, names: list[Name]) -> str:
+        """A qualified column as a query sees it: plain where the query or the next one out has the table, else passed on by
+        the queries between."""
+        plain, table = ".".join(map(ident, names)), names[-2].text.lower()
+        at = frame
+        while at is not None and table not in at.aliases:
+            at = at.outer
+        if at is None or at is frame or at is frame.outer:
+            return plain
+        between = frame.outer
+        key = (table, names[-1].text.lower())
+        if key not in between.passed:
+            between.name = between.name or self.fresh("outer")
+            between.passed[key] = self.fresh("x"), self.reached(between, names)
+        return f"{ident(between.name)}.{ident(between.passed[key][0])}"
+
     def _star(self, e):
         return "".join(ident(n) + "." for n in e.names or []) + "*"
 
@@ -373,7 +484,7 @@ class Printer:
             return f"({x} ^ {y})"
         if op in ("^", "**"):
             return f"power({x}, {y})"
-        if op == "DIV":
+        if op == "DIV" or op == "/" and e.whole:
             return f"({x} div {y})"
         if op == "MOD":
             return f"({x} % {y})"
@@ -404,21 +515,35 @@ class Printer:
             if op == "=" and not every:
                 return f"array_contains({y}, {x})"
             return f"{'forall' if every else 'exists'}({y}, __e -> {x} {op} __e)"
-        q = self.query(b.query)
         if op == "=" and not every or op in ("<>", "!=") and every:
-            return f"({x} {'NOT ' if every else ''}IN ({q}))"
+            return self.member(a, b.query, every)
+        q = self.query(b.query)
+        of = lambda how: f"(SELECT {how} FROM ({q}) AS q(c))"
+        nulls, none = of("count(*) > count(c)"), of("count(*) = 0")
         if op in ("=", "<>", "!="):
-            # = ALL: no value differs; <> ANY: some value differs.
-            lo, hi = f"(SELECT min(c) FROM ({q}) AS q(c))", f"(SELECT max(c) FROM ({q}) AS q(c))"
-            return f"({x} = {lo} AND {x} = {hi})" if every else f"({x} <> {lo} OR {x} <> {hi})"
-        best = "max" if (op[0] == ">") == every else "min"
-        test = f"{x} {op} (SELECT {best}(c) FROM ({q}) AS q(c))"
-        return f"coalesce({test}, (SELECT count(*) = 0 FROM ({q})))" if every else f"({test})"
+            lo, hi = of("min(c)"), of("max(c)")
+            some = f"{x} <> {lo} OR {x} <> {hi}"
+            best = lo
+        else:
+            best = of("max(c)" if (op[0] == ">") == every else "min(c)")
+            some = f"NOT ({x} {op} {best})" if every else f"{x} {op} {best}"
+        # One value decides; else a null among them leaves the outcome unknown.
+        return f"CASE WHEN {none} THEN {'true' if every else 'false'} WHEN {some} THEN {'false' if every else 'true'} WHEN {nulls} THEN NULL ELSE {x} {op} {best} END"
+
+    def member(self, a: Node, query: Node, no: bool) -> str:
+        """IN of a query. As a condition of rows it is a join; as a value Spark has no NULL for it, so that is told apart."""
+        x, value = self.expr(a), self.value
+        q = self.query(query)
+        test = f"({x} IN ({q}))"
+        if not value or a.kind == "tuple":
+            return f"({x} NOT IN ({q}))" if no else test
+        some, nulls = (f"(SELECT {how} FROM ({q}) AS q(c))" for how in ("count(*) > 0", "count(*) > count(c)"))
+        return f"CASE WHEN {test} THEN {str(not no).lower()} WHEN {nulls} OR {x} IS NULL AND {some} THEN NULL ELSE {str(no).lower()} END"
 
     def _in(self, e):
         no = "NOT " if e.no else ""
         if e.query is not None:
-            return f"({self.expr(e.kids[0])} {no}IN ({self.query(e.query)}))"
+            return self.member(e.kids[0], e.query, bool(e.no))
         return f"({self.expr(e.kids[0])} {no}IN ({self.all(e.kids[1:])}))"
 
     def _between(self, e):
@@ -634,10 +759,36 @@ class Printer:
         return f"timestamp_seconds({args[0]})" if len(args) == 1 and self.dialect == "postgresql" else None
 
 
+def conjuncts(e: Node | None) -> list[Node]:
+    """The conditions that AND connects."""
+    if e is None:
+        return []
+    if e.kind == "nested":
+        return conjuncts(e.kids[0])
+    return [x for k in e.kids for x in conjuncts(k)] if e.kind == "binary" and e.op == "AND" else [e]
+
+
 def kind_left(t: Node) -> bool:
     return t.join == "ASOF LEFT"
 
 
+def table_aliases(t: Node) -> list[str]:
+    """The names under which a FROM item's tables are known."""
+    if t.alias is not None:
+        return [t.alias.text]
+    if t.kind == "join":
+        right = table_aliases(t.right) if t.join not in ("LEFT SEMI", "LEFT ANTI") else []
+        return (table_aliases(t.left) if t.join not in ("RIGHT SEMI", "RIGHT ANTI") else []) + right
+    if t.kind in ("nested", "pivot"):
+        return table_aliases(t.table)
+    return [t.names[-1].text] if t.names else []
+
+
+def group_frames(e: Node) -> list[Node]:
+    """The calls of an expression that have a GROUPS frame."""
+    return [x for x in e.walk() if x.kind == "call" and x.over is not None and x.over.frame and x.over.frame[0] == "GROUPS"]
+
+
 def similar(pattern: str) -> str:
     """A SIMILAR TO pattern as a regular expression."""
     out, i = [], 0
