@@ -70,11 +70,41 @@ def lint_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_catalog([DDL]).frames(spark)["cat_constraints"].select("relation", "type", "name", F.array_join("columns", ",").alias("columns"), "ref_table", "text")
 
 
+CHANGED = """
+CREATE TABLE parts (id INT PRIMARY KEY, label TEXT, size INT, old_price NUMERIC(9,2));
+CREATE TABLE scraps (id INT);
+CREATE TABLE crates (id INT, part_id INT UNIQUE REFERENCES parts (id));
+ALTER TABLE parts DROP COLUMN size;
+ALTER TABLE parts RENAME COLUMN old_price TO price;
+ALTER TABLE crates RENAME TO boxes;
+ALTER TABLE boxes ALTER COLUMN id SET NOT NULL;
+ALTER TABLE boxes OWNER TO someone;
+ALTER TABLE parts ADD COLUMN weight REAL NOT NULL DEFAULT 1;
+DROP TABLE IF EXISTS scraps, nowhere;
+CREATE INDEX parts_label ON parts (label);
+"""
+
+
+def lint_catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns after they, or their tables, are dropped, renamed and added."""
+    return build_catalog([CHANGED]).frames(spark)["cat_columns"].select("relation", "ordinal", "column", "sql_type")
+
+
+MORE: dict[str, str] = {
+    "lint_setop_star": "SELECT * FROM members UNION SELECT id, name FROM members;\nSELECT * FROM tokens UNION ALL SELECT id, label, active FROM tokens",
+    "lint_changing_cte": "WITH gone AS (DELETE FROM visits WHERE fee < 0 RETURNING member_id, fee) SELECT g.member_id, g.fees FROM gone g",
+}
+
+
+def _codes(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze_texts(spark, {"a.sql": text}, build_catalog([DDL])).select("code", "line", "message")
+
+
 STAR = """
 CREATE TABLE region (r_regionkey INT PRIMARY KEY, r_name TEXT NOT NULL);
-CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT NOT NULL, FOREIGN KEY (n_regionkey) REFERENCES region);
+CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT NOT NULL REFERENCES region);
 CREATE TYPE status AS ENUM ('F', 'O');
-CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT NOT NULL, o_orderstatus status, o_totalprice DOUBLE PRECISION, UNIQUE (o_custkey), CONSTRAINT dear CHECK (o_totalprice > 1000));
+CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT NOT NULL UNIQUE, o_orderstatus status, o_totalprice DOUBLE PRECISION, CONSTRAINT dear CHECK (o_totalprice > 1000));
 """
 
 
@@ -111,7 +141,7 @@ USAGE = [("members", 18, 12), ("visits", 12, 10), ("membres", 1, 1), ("tokens",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_lint, text) for n, (text, _) in CASES.items()} | {"lint_parse_error": lint_parse_error, "lint_catalog_columns": lint_catalog_columns, "lint_constraints": lint_constraints, "check_constraints": check_constraints, "facts_usage": facts_usage}
+    return {n: partial(_lint, text) for n, (text, _) in CASES.items()} | {n: partial(_codes, text) for n, text in MORE.items()} | {"lint_catalog_changes": lint_catalog_changes, "lint_parse_error": lint_parse_error, "lint_catalog_columns": lint_catalog_columns, "lint_constraints": lint_constraints, "check_constraints": check_constraints, "facts_usage": facts_usage}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -126,8 +156,12 @@ def oracle_sql() -> dict[str, str]:
     }
     rows = [(t, i, c, k, str(n).lower(), str(p).lower()) for t, cs in tables.items() for i, (c, k, n, p) in enumerate(cs, 1)]
     out["lint_catalog_columns"] = _values(rows, ["relation", "ordinal", "column", "sql_type", "nullable", "primary_key"], ["VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "BOOLEAN", "BOOLEAN"])
-    found = [("members", "primary_key", "", "id", "", ""), ("visits", "primary_key", "", "id", "", ""), ("visits", "check", "fee_positive", "", "", "fee >= 0"), ("visits", "foreign_key", "visits_member", "member_id", "members", ""), ("tokens", "primary_key", "", "id", "", "")]
+    found = [("members", "primary_key", "", "id", "", ""), ("visits", "primary_key", "", "id", "", ""), ("visits", "check", "fee_positive", "", "", "fee >= 0"), ("visits", "foreign_key", "", "member_id", "members", ""), ("visits", "foreign_key", "visits_member", "member_id", "members", ""), ("tokens", "primary_key", "", "id", "", ""), ("tokens", "unique", "", "label", "", "")]
     out["lint_constraints"] = _values(found, ["relation", "type", "name", "columns", "ref_table", "text"], ["VARCHAR"] * 6)
+    changed = [("parts", 1, "id", "integer"), ("parts", 2, "label", "text"), ("parts", 3, "price", "numeric(9,2)"), ("parts", 4, "weight", "real"), ("boxes", 1, "id", "integer"), ("boxes", 2, "part_id", "integer")]
+    out["lint_catalog_changes"] = _values(changed, ["relation", "ordinal", "column", "sql_type"], ["VARCHAR", "INTEGER", "VARCHAR", "VARCHAR"])
+    out["lint_setop_star"] = _values([("E0003", 1, "Set operation column count mismatch: left has 5, right has 2")], ["code", "line", "message"], ["VARCHAR", "INTEGER", "VARCHAR"])
+    out["lint_changing_cte"] = _values([("E0002", 1, "Column 'fees' not found in CTE 'gone'")], ["code", "line", "message"], ["VARCHAR", "INTEGER", "VARCHAR"])
     out["check_constraints"] = CONSTRAINTS_SQL
     out["facts_usage"] = _values(USAGE, ["relation", "statements", "files"], ["VARCHAR", "BIGINT", "BIGINT"])
     return out
