@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from querywright.operators.analyze import analyze_texts
+from querywright.operators.analyze import analyze
 from querywright.operators.catalog import build_catalog
-from querywright.operators.sinks import capped, summary, to_json, to_sarif, to_text
+from querywright.operators.sinks import capped, clean_sarif, summary, to_json, to_sarif, to_text
 from querywright.plans.parser import parse
 from querywright.session import session
 from querywright.sources.config import Config, find_config, read_config
-from querywright.sources.files import expand, schema_files
+from querywright.sources.files import expand, read_named, schema_files
 from querywright.sources.lexer import SqlError
 
 
@@ -54,22 +55,24 @@ def check(a: argparse.Namespace) -> int:
         raise ValueError("No query files given.")
     dialect = config.dialect or "postgresql"
     catalog = build_catalog([_read(p) for p in schemas], dialect, a.mode)
-    texts = {p: _read(p) for p in files}
+    if missing := [p for p in files if not os.path.isfile(p)]:
+        raise FileNotFoundError(f"No such file: {missing[0]}")
     for w in catalog.warnings:
         print(f"{w['severity']}[{w['code']}]: {w['message']}\n   = help: {w['help']}\n", file=sys.stderr)
     spark = session(**{"spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    rows = analyze_texts(spark, texts, catalog, dialect=dialect, mode=a.mode, disable=config.disable).cache()
+    rows = analyze(read_named(spark, files), catalog, dialect=dialect, mode=a.mode, disable=config.disable).cache()
     shown = capped(rows, a.max_errors)
     match config.format or "human":
         case "json":
             docs = {r["file"]: r["json"] for r in to_json(shown).toLocalIterator()}
             print("\n".join(docs.get(p, f'{{"file":"{p}","diagnostics":[]}}') for p in files))
         case "sarif":
-            for r in to_sarif(shown).toLocalIterator():
-                print(r["sarif"])
+            docs = {r["file"]: r["sarif"] for r in to_sarif(shown).toLocalIterator()}
+            for p in files:
+                print(docs.get(p) or clean_sarif())
         case _:
-            for text in to_text(shown, texts, sys.stderr.isatty()):
+            for text in to_text(shown, _read, sys.stderr.isatty()):  # texts of files with findings alone
                 print(text, file=sys.stderr)
     total = summary(rows).first()
     if not a.quiet and (config.format or "human") == "human":

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +63,23 @@ def to_sarif(diagnostics: DataFrame, tool: str = "querywright") -> DataFrame:
     return grouped.select("file", F.to_json(F.struct(F.lit(schema).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
-def to_text(diagnostics: DataFrame, sources: dict[str, str] | None = None, colour: bool = False) -> Iterator[str]:
-    """One text for each diagnostic, in order, with its line of source where that is given. Rows stream to the driver."""
+def clean_sarif(tool: str = "querywright") -> str:
+    """The document of a file without diagnostics."""
+    rules = [{"id": c, "name": n} for c, n in RULES.items()]
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": []}]}, separators=(",", ":"))
+
+
+def to_text(diagnostics: DataFrame, sources: dict[str, str] | Callable[[str], str] | None = None, colour: bool = False) -> Iterator[str]:
+    """One text for each diagnostic, in order, with its line of source where that is given: by file, or by a function of it
+    that is asked once for each file that has diagnostics. Rows stream to the driver."""
+    text_of = sources if callable(sources) else lambda f: (sources or {}).get(f, "")
+    at, text = None, [""]
     paint = (lambda c, s: f"\x1b[{c}m{s}\x1b[0m") if colour else (lambda c, s: s)
     for r in diagnostics.orderBy(*ORDER).toLocalIterator():
         shade = {"error": "1;31", "warning": "1;33"}.get(r["severity"], "1;34")
         lines = [f"{paint(shade, r['severity'] + '[' + r['code'] + ']')}: {r['message']}", f"  --> {r['file']}" + (f":{r['line']}:{r['column']}" if r["line"] else "")]
-        text = (sources or {}).get(r["file"], "").split("\n")
+        if r["file"] != at:
+            at, text = r["file"], text_of(r["file"]).split("\n")
         if 0 < r["line"] <= len(text):
             number = str(r["line"])
             pad = " " * len(number)

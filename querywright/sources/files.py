@@ -15,6 +15,14 @@ def read_sql(spark: SparkSession, *paths: str, glob_filter: str = "*.sql", recur
     return reader.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def read_named(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, text) of local files, read by tasks; a file is named as in the list. Empty files may have no row."""
+    uris = {f"file://{os.path.realpath(p)}": p for p in reversed(paths)}
+    names = F.broadcast(spark.createDataFrame(list(uris.items()), "uri string, name string"))
+    found = spark.read.option("wholetext", True).text(list(uris)).select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), "value")
+    return found.select(F.concat(F.lit("file:///"), F.regexp_replace("path", "^file:/+", "")).alias("uri"), F.col("value").alias("text")).join(names, "uri").select(F.col("name").alias("file"), "text")
+
+
 def read_ordered(spark: SparkSession, paths: list[str]) -> list[str]:
     """Texts in the order of the list, as DDL needs. Schema files are few and small."""
     rows = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value").collect()

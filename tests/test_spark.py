@@ -66,6 +66,13 @@ def test_command_line(tmp_path, monkeypatch, capsys, spark):
     assert cli.main(["check", "q.sql"]) == 2 and cli.main(["check", "-s", "s.sql"]) == 2
     capsys.readouterr()
     assert cli.main(["check", "-s", "s.sql", "q.sql", "-f", "json"]) == 1 and json.loads(capsys.readouterr().out)["file"] == "q.sql"
+    assert cli.main(["check", "-s", "s.sql", "ok.sql", "q.sql", "-f", "sarif"]) == 1
+    clean, found = map(json.loads, capsys.readouterr().out.splitlines())
+    assert clean["runs"][0]["results"] == [] and clean["runs"][0]["tool"] == found["runs"][0]["tool"] and len(found["runs"][0]["results"]) == 1
+    (tmp_path / "odd +%20 é.sql").write_text("SELECT nope FROM t")
+    assert cli.main(["check", "-s", "s.sql", "odd +%20 é.sql"]) == 1 and "--> odd +%20 é.sql:1:8" in capsys.readouterr().err
+    assert cli.main(["check", "-s", "s.sql", "gone.sql"]) == 2
+    (tmp_path / "odd +%20 é.sql").unlink()
     (tmp_path / "querywright.toml").write_text('schema = ["s.sql"]\nfiles = ["*.sql"]\ndisable = ["E0002"]\n')
     assert cli.main(["check", "-q"]) == 0
     assert cli.main(["schema", "s.sql"]) == 0 and "- name text NOT NULL" in capsys.readouterr().out
