@@ -9,7 +9,8 @@ position, so that a sort of plain longs brings equal windows together; the few n
 again by the words themselves, which makes the count exact.
 
 Defined results: null and empty texts have no words, counts of zero, base_failed true and kept false. Repeated rows
-give repeated results. Other columns of the input are ignored.
+give repeated results, a null id is an id like any other, and an empty table gives no rows. Other columns of the input are
+ignored, whatever they are called. A text that loses exactly `max_loss` of its characters is kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,12 @@ BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
     "enable javascript", "lorem ipsum", "click here", "subscribe to our", "sign up for", "log in to", "copyright (c)",
     "licensed under the", "spdx-license-identifier", "without warranties or conditions", "permission is hereby granted",
+    "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "verwendet cookies", "hier klicken",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "utilise des cookies", "cliquez ici",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "utiliza cookies", "haga clic aquí",
 )
+#: What separates the entries of a menu or a path of pages, beside the symbols.
+ARROWS = "»›•·→"
 
 
 def hints(text: Column) -> Column:
@@ -38,7 +44,7 @@ def hints(text: Column) -> Column:
     has = lambda phrases, t: reduce(or_, [F.contains(t, F.lit(p)) for p in phrases])
     return F.struct(
         text.rlike(f"[{SYMBOLS}]").alias("symbols"),
-        has("»›", text).alias("arrows"),
+        has(ARROWS, text).alias("arrows"),
         F.contains(text, F.lit("!!")).alias("shouts"),
         has(BOILERPLATE, low).alias("boiler"),
     )
@@ -49,7 +55,7 @@ def line_fails(line: Column, hint: Column) -> Column:
     its text holds; rules that cannot apply are not asked."""
     count = lambda x: (F.length(line) - F.length(F.replace(line, F.lit(x)))) / len(x)
     symbols = (count("|") >= 4) | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 10 > F.length(F.translate(line, " \t\x0b\x0c\r", "")))
-    arrows = count("»") + count("›") >= 3
+    arrows = F.regexp_count(line, F.lit(f"[{ARROWS}]")) >= 3
     shouting = (count("!!") >= 3) & (F.length(F.regexp_replace(line, r"\p{Lu}+", "")) * 2 < F.length(line))
     boiler = F.lower(line).rlike("|".join(x.replace("(", "\\(").replace(")", "\\)") for x in BOILERPLATE))
     unpunctuated = ~line.rlike(r"[.,;:!?…。！？]") & (F.size(F.array_remove(F.split(line, f"{BLANK}+"), "")) >= 25)

@@ -89,7 +89,7 @@ r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS j FROM
 e AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM s),
 q AS (SELECT doc_id, line, i,
     len(line) - len(replace(line, '|', '')) >= 4 OR len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 10 > len(regexp_replace(line, '{blanks}', '', 'g'))
-    OR len(line) * 2 - len(replace(line, '»', '')) - len(replace(line, '›', '')) >= 3
+    OR len(line) - len(regexp_replace(line, '[{arrows}]', '', 'g')) >= 3
     OR ((len(line) - len(replace(line, '!!', ''))) / 2 >= 3 AND len(regexp_replace(line, '\\p{{Lu}}+', '', 'g')) * 2 < len(line))
     OR regexp_matches(lower(line), '{boiler}')
     OR (NOT regexp_matches(line, '[.,;:!?…。！？]') AND len(list_filter(regexp_split_to_array(line, '{blanks}'), lambda v: v <> '')) >= 25) AS bad,
@@ -101,7 +101,7 @@ z AS (SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replac
     CAST(m.removed AS BIGINT) AS n_lines_removed, m.rest FROM s JOIN m ON m.doc_id = s.doc_id LEFT JOIN r ON r.doc_id = s.doc_id),
 y AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_lines_removed = 0 OR rest >= 0.5 * word_chars) AS kept, n_lines_removed FROM y
-""".format(blanks=BLANKS, boiler="|".join(x.replace("(", "\\(").replace(")", "\\)") for x in quality.BOILERPLATE))
+""".format(blanks=BLANKS, arrows=quality.ARROWS, boiler="|".join(x.replace("(", "\\(").replace(")", "\\)") for x in quality.BOILERPLATE))
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,6 +38,14 @@ def test_against_brute_force(spark):
     assert not got[11]["kept"] and not got[14]["kept"] and not got[0]["kept"]
 
 
+def test_lines_of_other_languages(spark):
+    lines = ["Start » Laden » Bücher » Romane", "Accueil • Boutique • Presse • Contact", "Inicio · Tienda · Prensa · Contacto", "TODOS LOS DERECHOS RESERVADOS", "© 2020 Tous droits réservés", "Mehr in der Datenschutzerklärung"]
+    good = ["L'heure est venue · il part.", "Ein Satz » mit Zeichen « endet hier."]
+    df = spark.createDataFrame([(None, "\n".join([CLEAN, *lines, *good]))], "doc_id long, text string")
+    (r,) = quality_rules(df).collect()
+    assert r["kept"] and r["n_lines_removed"] == len(lines) and r["cleaned"] == "\n".join([CLEAN, *good])
+
+
 def test_driver_rows(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     for r, t in zip(quality_rules(df).orderBy("doc_id").collect(), df.orderBy("doc_id").collect(), strict=True):
