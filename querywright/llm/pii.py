@@ -5,8 +5,13 @@ character of the rewritten text, the range of source characters that it stands f
 characters go, "[at]" and "dot" become signs, spelled digits become digits. The same detectors then run on the rewritten
 text and their spans are mapped back. A found span is added where it overlaps no span of its kind.
 
+A transducer is an automaton over folded characters whose final states have an output. Its rules are ambiguous in plain prose
+("at", "one", "point"), so it runs inside guards alone: patterns of what surrounds a disguised address or number.
+
 Every step is linear in the text: runs are found from their rarest character, and no pattern can backtrack across a run.
-Defined results: null and empty texts have no spans; offsets count code points; repeated rows give repeated results.
+Defined results: null and empty texts have no spans; offsets count code points; repeated rows give repeated results; null
+ids are ids like any other; an empty table gives no rows. Of added spans that overlap one of their kind, the one that is
+there first stays. Only the id and the text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import bisect
 import hashlib
 import re
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -86,7 +92,9 @@ HOMOGLYPHS |= {z + i: str(i) for z in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x
 HOMOGLYPHS |= {z + i: chr(c + i) for z in (0x1D400, 0x1D5A0, 0x1D5D4, 0x1D670) for c, z in ((65, z), (97, z + 26)) for i in range(26)}  # mathematical letters
 HOMOGLYPHS |= {c: " " for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000)}
 ZERO_WIDTH = "­​‌‍⁠﻿"
-_STRANGE = re.compile("[" + "".join(map(re.escape, map(chr, sorted(HOMOGLYPHS)))) + ZERO_WIDTH + "]")
+#: All strange characters are among these; Western texts have few of them, so one fast search passes most texts by.
+_FOREIGN = re.compile("[\xa0\xad\u0100-\U0010ffff]")
+_KNOWN = frozenset(HOMOGLYPHS) | frozenset(map(ord, ZERO_WIDTH))
 _ZERO = re.compile(f"[{ZERO_WIDTH}]")
 
 # The digits' names in four languages.
@@ -101,7 +109,6 @@ _W = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _SIGN = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 #: Seven or more digits, at least the first of them spelled, with an optional plus before and dots between.
 _RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus\s+)|\+\s*)?{_W}(?:(?:{_SIGN}|[\s,.-]{{1,3}})(?:{_W}(?!\w)|[0-9]+)){{3,}}(?!\w)")
-_RUN_PART = re.compile(rf"(?i){_SIGN}|plus\s+|\+\s*|{_W}(?!\w)|[0-9]|[\s,.-]+")
 #: name [at] host [dot] tld, and name at host dot tld; the two signs may be disguised in different ways.
 _AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|arroba|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]?@[ \t]?|&#64;|&#x40;|&commat;|%40|_at_)"
 _DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punkt|point|punto)[ \t]+|&#46;|&#x2e;|&period;|%2e|_dot_|\.)"
@@ -114,15 +121,114 @@ _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\
 _IP_SIGN = r"(?:\s*+[\[({<]\s*+(?:dot|\.|punkt|point|punto)\s*+[\])}>]\s*+|\s++(?:dot|punkt|point|punto)\s++|&#46;|&#x2e;|&period;|%2e|_dot_|\.)"
 _IP_GROUP = rf"((?:{_W}(?![^\W_])|[0-9]++)(?:[\s-]{{1,3}}(?:{_W}(?![^\W_])|[0-9](?![0-9]))){{0,7}})"
 _IP_RUN = re.compile(rf"(?i)(?<![^\W_]){_IP_GROUP}{_IP_SIGN}{_IP_GROUP}{_IP_SIGN}{_IP_GROUP}{_IP_SIGN}{_IP_GROUP}")
-_IP_PART = re.compile(rf"(?i){_W}(?![^\W_])|[0-9]+")
 _IP_WORDS = ("dot", "punkt", "point", "punto", "&#46;", "&#x2e;", "&period;", "%2e")
-_IP_HINT = re.compile(rf"(?i)[\[({{<]\s*+\.\s*+[\])}}>]|[^\W\d_]\.\w|\d\.[^\W\d_]")
 #: What a disguised address must end with.
 _TLD = re.compile(r"\.[A-Za-z]{2,}\Z")
 _SLIPS = str.maketrans("OoIl", "0011")
 _SLIPPED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ -]?[0-9OoIl]){15,18}(?![A-Za-z0-9])")
 
 
+class Transducer:
+    """A trie over lower-case characters whose final states have an output. Of the rules that match at a place the longest is
+    applied; what no rule reads is copied. words: rules apply to whole words (underscores part words) alone."""
+
+    def __init__(self, rules: dict[str, str], words: bool = False):
+        self.words = words
+        self.arcs: list[dict[str, int]] = [{}]
+        self.output: list[str | None] = [None]
+        for key, new in rules.items():
+            state = 0
+            for c in key:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.output.append(None)
+                state = self.arcs[state][c]
+            self.output[state] = new
+
+    def edits(self, t: str, begin: int, end: int) -> list[tuple[int, int, str]]:
+        """The ranges of a part of the text that rules read, in order, and what they write."""
+        out, i = [], begin
+        while i < end:
+            state, j, found = 0, i, None
+            if not self.words or i == begin or not t[i - 1].isalpha():
+                while j < end and (state := self.arcs[state].get(t[j].lower(), -1)) >= 0:
+                    j += 1
+                    if self.output[state] is not None and (not self.words or j == end or not t[j].isalpha()):
+                        found = (i, j, self.output[state])
+            if found:
+                out.append(found)
+            i = found[1] if found else i + 1
+        return out
+
+
+#: Spelled digits, signs in words and the plus; and single characters that a run of digits has between its parts.
+_NUMBERS = Transducer(DIGITS | dict.fromkeys(("dot", "punkt", "point", "punto"), ".") | {"plus": "+"}, words=True)
+_VALUES = Transducer(DIGITS | {str(i): str(i) for i in range(10)})
+_SIGNS = Transducer(dict.fromkeys(("dot", ".", "punkt", "point", "punto", "&#46;", "&#x2e;", "&period;", "%2e", "_dot_"), ".") | dict.fromkeys(("at", "@", "arroba", "ät", "&#64;", "&#x40;", "&commat;", "%40", "_at_"), "@"))
+
+
+def _sign(t: str, a: int, b: int) -> tuple[int, int, str]:
+    """A disguised sign as one edit: what stands around the sign itself (blanks, brackets) belongs to it."""
+    return a, b, _SIGNS.edits(t, a, b)[0][2]
+
+
+def _automaton() -> ahocorasick.Automaton:
+    """The words that disguises are made of, for one pass over a text: digits' names with their sizes, 0 for signs in words."""
+    out = ahocorasick.Automaton()
+    for w in DIGITS:
+        out.add_word(w, len(w))
+    for w in _IP_WORDS:
+        out.add_word(w, 0)
+    out.make_automaton()
+    return out
+
+
+_TRIGGERS = _automaton()
+
+
+class Triggers:
+    """Which disguises a text can hold, told without running their patterns: whether it has four digits' names as words, a
+    sign in words, a dot between letters or letters and digits or in brackets, or what at signs' disguises need."""
+
+    def __init__(self, t: str):
+        low = t.lower()
+        digits, signs, n = 0, False, len(low)
+        for end, size in _TRIGGERS.iter(low):
+            if not size:
+                signs = True
+            elif (end + 1 == n or not low[end + 1].isalnum()) and (end < size or not low[end - size].isalnum()):
+                digits += 1
+        self.digits = digits >= 4
+        self.mail = signs or any(c in t for c in "[({<&%@") or "_at_" in low or "_dot_" in low
+        self.dots = signs or _odd_dot(t)
+
+
+def _odd_dot(t: str) -> bool:
+    """Whether a dot stands alone in brackets, between a letter and a word, or between a digit and a letter."""
+    i, n = t.find("."), len(t)
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    while i >= 0:
+        before, after = t[i - 1] if i else " ", t[i + 1] if i + 1 < n else " "
+        if letter(before) and (after == "_" or after.isalnum()) or before.isdecimal() and letter(after):
+            return True
+        if (before in "[({<" or before.isspace()) and (after in "])}>" or after.isspace()):
+            a, b = i - 1, i + 1
+            while a >= 0 and t[a].isspace():
+                a -= 1
+            while b < n and t[b].isspace():
+                b += 1
+            if a >= 0 and b < n and t[a] in "[({<" and t[b] in "])}>":
+                return True
+        i = t.find(".", i + 1)
+    return False
+
+
+def _strange(t: str) -> bool:
+    """Whether a text has a character that is rewritten."""
+    return not t.isascii() and _FOREIGN.search(t) is not None and not _KNOWN.isdisjoint(map(ord, set(t)))
+
+
 class Rewriting:
     """A rewritten text and the source range of each of its characters."""
 
@@ -154,12 +260,9 @@ class Rewriting:
 def _disguised_ips(t: str) -> list[Span]:
     """Addresses with a spelled digit or a disguised dot; digits before the first group or after the last that make it too
     large do not belong to it."""
-    low = t.lower()
-    if not any(w in low for w in _IP_WORDS) and not _IP_HINT.search(t):
-        return []
     out, at = [], 0
     while m := _IP_RUN.search(t, at):
-        groups = [[(p.start(), p.end(), DIGITS.get(p[0].lower()) or p[0]) for p in _IP_PART.finditer(t, *m.span(i))] for i in (1, 2, 3, 4)]
+        groups = [_joined_digits(t, _VALUES.edits(t, *m.span(i))) for i in (1, 2, 3, 4)]
         value = lambda g: "".join(x for _, _, x in g)
         small = lambda g: bool(ips(f"0.0.0.{value(g)}"))
         while len(groups[0]) > 1 and not small(groups[0]):
@@ -176,20 +279,46 @@ def _disguised_ips(t: str) -> list[Span]:
     return out
 
 
+def _joined_digits(t: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits whose numerals that stand together are one."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, x in found:
+        if out and out[-1][1] == a and t[a].isdigit() and t[a - 1].isdigit():
+            out[-1] = (out[-1][0], b, out[-1][2] + x)
+        else:
+            out.append((a, b, x))
+    return out
+
+
 def _digit_edits(t: str) -> list[tuple[int, int, str]]:
-    low = t.lower()
-    if sum(low.count(w) for w in DIGITS) < 4:
-        return []
     out = []
     for m in _RUN.finditer(t):
-        parts = [(p.start(), p.end(), p[0]) for p in _RUN_PART.finditer(t, m.start(), m.end())]
-        spelled = sum(p[2].lower() in DIGITS for p in parts)
-        if spelled < 4 or spelled + sum(p[2].isdigit() for p in parts) < 7:
+        words = _NUMBERS.edits(t, m.start(), m.end())
+        spelled, numerals = sum(x.isdigit() for _, _, x in words), sum(c in "0123456789" for c in m[0])
+        if spelled < 4 or spelled + numerals < 7:
+            continue
+        at = m.start()
+        for a, b, x in [*words, (m.end(), m.end(), "")]:
+            out += _between(t, at, a)
+            if b > a:
+                out.append((a, b, x))
+            at = b
+    return out
+
+
+def _between(t: str, a: int, b: int) -> list[tuple[int, int, str]]:
+    """Edits of what stands between the words of a run: numerals and plus signs stay, a dot alone stays, all else goes."""
+    out = []
+    while a < b:
+        if t[a] in "0123456789+":
+            out.append((a, a + 1, t[a]))
+            a += 1
             continue
-        for a, b, x in parts:
-            y = x.lower()
-            new = DIGITS.get(y) or (x if x.isdigit() else "+" if y.strip() in ("plus", "+") else "." if any(c.isalpha() for c in x) or x == "." else "")
-            out.append((a, b, new))
+        end = a
+        while end < b and t[end] not in "0123456789+":
+            end += 1
+        out.append((a, end, "." if t[a:end] == "." else ""))
+        a = end
     return out
 
 
@@ -214,13 +343,13 @@ def _mail_edits(t: str) -> list[tuple[int, int, str]]:
                 b -= 1
             if b == d.start():
                 break
-            local.insert(0, (d.start(), d.end(), "."))
+            local.insert(0, _sign(t, d.start(), d.end()))
             a = b
-        dots = [(x.start(), x.end(), ".") for x in _DOTS.finditer(t, at.end(), m.end()) if x[0] != "."]
+        dots = [_sign(t, x.start(), x.end()) for x in _DOTS.finditer(t, at.end(), m.end()) if x[0] != "."]
         if plain_at and not dots:  # "at" as a plain word needs a disguised dot too
             continue
         if disguised or dots or local:
-            out += local + ([(m.start(), at.end(), "@")] if disguised else []) + dots
+            out += local + ([_sign(t, m.start(), at.end())] if disguised else []) + dots
         last = m.end()
     return out
 
@@ -228,13 +357,14 @@ def _mail_edits(t: str) -> list[tuple[int, int, str]]:
 def hidden_spans(t: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans of disguised identifiers that overlap no known one of their kind."""
     r, changed = Rewriting(t), False
-    if not t.isascii() and _STRANGE.search(t):
+    if _strange(t):
         r.text = t.translate(HOMOGLYPHS)  # one character for one
         r.apply([(m.start(), m.end(), "") for m in _ZERO.finditer(r.text)])
         changed = True
-    addresses = [r.source(x) for x in _disguised_ips(r.text)]
-    for edits in (_digit_edits, _mail_edits):
-        if made := edits(r.text):
+    can = Triggers(r.text)
+    addresses = [r.source(x) for x in _disguised_ips(r.text)] if can.dots else []
+    for edits, possible in ((_digit_edits, can.digits), (_mail_edits, can.mail)):
+        if possible and (made := edits(r.text)):
             r.apply(made)
             changed = True
     if slips := [m for m in _SLIPPED.finditer(r.text) if sum(map(str.isdigit, m[0])) >= 10 and not m[0].replace(" ", "").replace("-", "").isdigit()]:

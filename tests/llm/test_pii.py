@@ -56,6 +56,28 @@ def test_disguises(text, kind, span):
     assert pii.redacted(text) == text.replace(span, f"<{kind.upper()}>")
 
 
+def test_transducers_take_the_longest_rule_and_whole_words():
+    t = pii.Transducer({"one": "1", "oneone": "11", "eight": "8"}, words=True)
+    assert t.edits("Oneone one_EIGHT stone onex", 0, 27) == [(0, 6, "11"), (7, 10, "1"), (11, 16, "8")]
+    assert pii._VALUES.edits("x19two", 0, 6) == [(1, 2, "1"), (2, 3, "9"), (3, 6, "2")]
+
+
+def test_prefilters_lose_nothing(monkeypatch):
+    """The texts that are passed by are those whose patterns find nothing."""
+    rng = random.Random(11)
+    parts = ["one", " two", "three-", " four", "five ", " six", "seven", "eight", " nine", " zero", " dot ", " [dot] ", " punto ", "192", "168", "0", "1", ".", "[.]", " ( . ) ", "x.y", "a.1", "1.b", "@", " @ ", " at ", " [at] ", "john", "com", "&#64;", "%40", "_at_", "_dot_", "+1", "plus ", "O0Il", "é", "а", "\u200b", "\xa0", "\n", "_.", "9.9.9.9", "eight.eight.8.8", "ex%2ecom"]
+    made = ["".join(rng.choices(parts, k=rng.randint(2, 25))) for _ in range(6000)]
+    got = [pii.hidden_spans(t, pii.base_spans(t)) for t in made]
+
+    class All:
+        def __init__(self, t):
+            self.digits = self.mail = self.dots = True
+
+    monkeypatch.setattr(pii, "Triggers", All)
+    monkeypatch.setattr(pii, "_strange", lambda t: any(ord(c) in pii._KNOWN for c in t))
+    assert got == [pii.hidden_spans(t, pii.base_spans(t)) for t in made] and sum(any(x.values()) for x in got) > 500
+
+
 @pytest.mark.parametrize("text", ["Meet at noon dot", "one two three", "see you at home. The dot is red", "look at example.com", "на 12 дней", "version 1.2.3", "at a dot b", "look_at_me.py", "5%405.2", "see x [at] y [dot] 5", "the one at the top dot"])
 def test_clean_texts_stay(text):
     assert pii.redacted(text) == text
