@@ -9,6 +9,9 @@ words walk it together, one byte of all words at a time; words that it lacks are
 Encoding equals the tokenizers library's for byte-level BPE with add_special_tokens=False, added tokens in the text
 included; decoding equals decode(ids, skip_special_tokens=False).
 
+The lexicon holds words of at most LONG characters that occur twice at least; all others are merged exactly too, so it
+changes the time alone. Words of like frequency are taken together or not at all, so ties need no order.
+
 Defined results: a null text counts as empty and has no ids. Texts are taken whole; memory is bounded by a batch's distinct
 words. Repeated rows give repeated results.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import chunk_rows, map_chunks, stored
+from querywright.llm.common import chunk_rows, map_arrow, map_chunks, stored
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for texts of plain characters only (see _ODD), where letters are these ranges.
@@ -444,7 +447,7 @@ def frequent_words(df: DataFrame, text_col: str = "text", max_words: int = 1 <<
         if seen:
             yield out()
 
-    counts = df.select(F.col(text_col).alias("t")).mapInArrow(count, StructType.fromDDL("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(df.select(F.col(text_col).alias("t")), count, StructType.fromDDL("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts.filter("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
     # A sixteenth of an octave a level, so at most about a thousand rows; the levels taken hold max_words words at most.
     total, least = 0, None

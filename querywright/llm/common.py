@@ -31,9 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared one."""
-    return posixpath.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+    """A new folder name below the shared one; sweep() deletes it."""
+    path = posixpath.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the folders that this process has named since the last sweep, and returns how many there were. For when all
+    results are written: DataFrames that read from them can no longer run. Checkpoints are Spark's own to clean, by
+    spark.cleaner.referenceTracking.cleanCheckpoints."""
+    conf, found = spark._jsc.hadoopConfiguration(), 0
+    for path in _MADE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found += bool(at.getFileSystem(conf).delete(at, True))
+    _MADE.clear()
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """The same for rows of a few numbers that a shuffle has dealt out: partitions are put together, without a shuffle, to
+    an eighth of their number or two for each core, so that loops do not fill the shared folder with tiny files."""
+    spark = df.sparkSession
+    return cut(df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again."""
     path = fresh_dir(df.sparkSession, kind)
@@ -49,15 +73,29 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 16 << 20
 
 
 def sized(keys: DataFrame) -> DataFrame:
-    """Keys (a stored table of a few short columns) for the side of a semi or anti join that need not be in order: marked
-    for broadcast if they are counted and at most BROADCAST_ROWS, some 10 MB; else as they are, so that both sides shuffle."""
+    """Keys (a stored table of a few short columns) for the side of a semi or anti join that need not be in order: counted and
+    weighed (written out as text), and marked for broadcast if they are at most BROADCAST_ROWS and BROADCAST_BYTES; else as
+    they are, so that both sides shuffle. The result is the same."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    rows, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0))).first()
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else keys
+
+
+#: Rows of an Arrow batch between the JVM and Python: each task holds a few batches of whole texts on both sides.
+BATCH_ROWS = 2000
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of BATCH_ROWS rows at most."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def map_chunks(df: DataFrame, work: Callable, schema, limit: int = 4 << 20) -> DataFrame:
@@ -75,7 +113,7 @@ def map_chunks(df: DataFrame, work: Callable, schema, limit: int = 4 << 20) -> D
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def with_columns(df: DataFrame, used: list[str], work: Callable, out: dict[str, str], limit: int = 2 << 20) -> DataFrame:
@@ -99,7 +137,7 @@ def with_columns(df: DataFrame, used: list[str], work: Callable, out: dict[str,
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     df_names = df.columns
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def spare(df: DataFrame, stem: str) -> str:

@@ -10,7 +10,9 @@ Fitting reads at most about `docs_per_lang` documents of each language, dealt by
 depend on partitioning; trigram counts are added up by Spark, and what reaches the driver is languages x BUCKETS numbers.
 
 Defined results: a text that is null or has no letter is "und" with score 0. A word's case does not matter. Languages with
-no training text cannot be predicted; with no model at all every text is "und". Repeated rows give repeated results.
+no training text cannot be predicted; with no model at all every text is "und". Of languages with equal proportions or
+likelihoods the one that sorts first comes first. Repeated rows give repeated results, null ids are ids like any other, an
+empty table gives no rows, and only the named columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import chunk_rows, map_chunks, with_columns
+from querywright.llm.common import chunk_rows, map_arrow, map_chunks, with_columns
 
 BUCKETS = 1 << 15
 POWER = 0.5
 PENALTY = 2.0
 ROUNDS = 12
 MEMO = 200_000
+#: A model has BUCKETS numbers for each language; more labels than there are languages are an error.
+MAX_LANGS = 8000
 _LETTER = regex.compile(r"\p{L}")
 #: What separates words: everything but letters and marks.
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -114,16 +118,29 @@ class Model:
             mix = (p * np.repeat(pi, size, axis=0)).sum(axis=1)
             return pi, np.add.reduceat(c * np.log(mix), s)
 
-        every = np.ones(len(full), dtype=bool)
+        def reach(pi: np.ndarray, which: np.ndarray) -> np.ndarray:
+            """What no set of languages can exceed: the likelihood is concave in the proportions, so its slope at any bounds it."""
+            take = np.repeat(which, sizes)
+            p, c, size = like[take], count[take], sizes[which]
+            s = np.concatenate([[0], np.cumsum(size)[:-1]])
+            mix = (p * np.repeat(pi, size, axis=0)).sum(axis=1)
+            return np.add.reduceat(c * np.log(mix), s) + np.add.reduceat(p * (c / mix)[:, None], s, axis=0).max(axis=1) - total[which]
+
         single = np.add.reduceat(np.log(like) * count[:, None], starts, axis=0)
-        pi, most = fit(np.ones((len(full), n)), every)
-        order = np.argsort(-pi, axis=1, kind="stable")
         first = np.argmax(single, axis=1)
         best, value = np.eye(n)[first], single[np.arange(len(full)), first]
-        # The likelihood is concave in the proportions: its slope at pi bounds what any set of languages can reach.
-        mixed = (like * np.repeat(pi, sizes, axis=0)).sum(axis=1)
-        most = most + np.add.reduceat(like * (count / mixed)[:, None], starts, axis=0).max(axis=1) - total
-        open_ = most > value + PENALTY * np.log1p(total) - 1e-9 * total if n > 1 else ~every
+        enough = value + PENALTY * np.log1p(total) - 1e-9 * total
+        # Most documents have one language: the slope close to that one tells that no other is worth its penalty.
+        rest = np.minimum(0.02, 4 / total)[:, None]
+        open_ = np.full(len(full), n > 1)
+        if n > 1:
+            open_ = reach(best * (1 - rest) + rest / n, open_) > enough
+        order = np.zeros((len(full), n), dtype=np.int64)
+        if open_.any():
+            at = np.flatnonzero(open_)
+            pi, _ = fit(np.ones((len(at), n)), open_)
+            order[at] = np.argsort(-pi, axis=1, kind="stable")
+            open_[at] = reach(pi, open_) > enough[at]
         for k in range(2, n + 1):
             if not open_.any():
                 break
@@ -145,6 +162,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)))
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{len(sizes)} labels are more than {MAX_LANGS} languages")
     dealt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, int((1 << 20) * min(1.0, docs_per_lang / v)))])
     chosen = labelled.filter(dealt < F.try_element_at(share, F.col(lang_col)))
@@ -161,7 +180,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    counts = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, StructType.fromDDL("lang string, bucket int, n long")).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_arrow(chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, StructType.fromDDL("lang string, bucket int, n long")).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     langs = sorted(got["lang"].unique())
     logp = np.zeros((BUCKETS, len(langs)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from querywright.llm.bpe import encoder
-from querywright.llm.common import cut, map_chunks, spare, stored
+from querywright.llm.common import cut, map_arrow, map_chunks, spare, stored
 
 CAP = 2048
 
@@ -152,7 +152,7 @@ def pack(df: DataFrame, cap: int = CAP) -> DataFrame:
                 sequence[a:b], offset[a:b] = seq[run] + number - begin[run], off[run]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(sequence), pa.array(offset)], names=[f.name for f in schema])
 
-    return ordered.mapInArrow(place, schema).unionByName(whole)
+    return map_arrow(ordered, place, schema).unionByName(whole)
 
 
 def best_two_fit(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:

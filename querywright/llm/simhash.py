@@ -16,7 +16,9 @@ Groups: documents whose fingerprints differ in at most `max_bits` bits are linke
    from alternating large-star and small-star steps over distributed edges; nothing of them reaches the driver.
 
 Defined results: null and empty texts have fingerprint zero and link like any other. Texts with fewer words than a shingle
-have one shingle, all their words. A null id is never a component's name unless the component has no other.
+have one shingle, all their words. A null id is never a component's name unless the component has no other. Equal texts and
+repeated rows are one group; of a group's ids the smallest names it, and one_of_each() keeps, of rows with that id, the one
+whose text has the smallest hash, once. Only the id and the text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import cut, map_chunks, sized, spare, stored
+from querywright.llm.common import cut, cut_narrow, map_arrow, map_chunks, sized, spare, stored
 
 SEED = 42
 STEP_BITS = 8
@@ -272,7 +274,7 @@ def fingerprint_edges(distinct: DataFrame, max_bits: int = 2, node_rows: int = 1
         )
     keyed = done.select(F.xxhash64("r", "bits", "node").alias("key"), "fp", "home", _gray("code").alias("rank"))
     placed = keyed.repartition("key").sortWithinPartitions("key", "rank").select("key", "fp", "home")
-    return placed.mapInArrow(_node_edges(max_bits), StructType.fromDDL("a long, b long"))
+    return map_arrow(placed, _node_edges(max_bits), StructType.fromDDL("a long, b long"))
 
 
 def _gray(name: str) -> Column:
@@ -290,18 +292,18 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are checkpointed before they are joined: a join of two plain shuffles can split the partition of a node that
     a large family has its edges at."""
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut_narrow(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(e)
     while seen[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
+        low = cut_narrow(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.join(low, both["a"] == low["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.distinct())
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
+        large = cut_narrow(large.distinct())
+        low = cut_narrow(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         joined = large.join(low, large["a"] == low["u"])
         small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         more = joined.filter("b <> m").select("a", F.col("m").alias("b"))
-        e = cut(small.unionAll(more).filter("a <> b").distinct())
+        e = cut_narrow(small.unionAll(more).filter("a <> b").distinct())
         if (now := state(e)) == seen:
             break
         seen = now
@@ -381,7 +383,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         some = [x.view(np.int64) if n % SAMPLE == 0 else None for x, n in zip(sets, names, strict=True)]
         return {"doc_id": ids, "fp": fps.view(np.int64), "th": names, "bands": [samples(x) for x in sets], "some": some}
 
-    rows = stored(map_chunks(texts, work, StructType.fromDDL(f"doc_id {kind}, fp long, th long, bands array<long>, some array<long>")), "samples")
+    rows = stored(map_chunks(texts, work, StructType.fromDDL(f"doc_id {kind}, fp long, th long, bands array<long>, some array<long>"), limit=1 << 20), "samples")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # One row for each different set; its other fingerprints (repeats count in them) are linked to its smallest.
     sets_of = stored(rows.groupBy("th").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min("doc_id").alias("rep")), "sets")
@@ -395,7 +397,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Edges of the pairs (th, hub) whose sets have the similarity."""
         needed = pairs.select("th").unionAll(pairs.select(F.col("hub").alias("th"))).distinct().join(sets_of, "th").select("rep").distinct()
         wanted = texts.join(sized(stored(needed, "needed")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        made = map_chunks(wanted, shingles, StructType.fromDDL("th long, shingles array<long>")).groupBy("th").agg(F.min("shingles").alias("shingles"))
+        made = map_chunks(wanted, shingles, StructType.fromDDL("th long, shingles array<long>"), limit=1 << 20).groupBy("th").agg(F.min("shingles").alias("shingles"))
         sets = stored(made.join(sets_of.select("th", "fp"), "th"), "shingles")
         both = pairs.join(sets.select("th", F.col("fp").alias("u"), F.col("shingles").alias("a")), "th").join(sets.select(F.col("th").alias("hub"), F.col("fp").alias("v"), F.col("shingles").alias("b")), "hub")
         shared = F.size(F.array_intersect("a", "b"))
@@ -423,7 +425,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"th": [set_hash(x) for x in sets], "size": [len(x) for x in sets], "keys": [prefix(x, similarity, *order.value).view(np.int64) for x in sets]}
 
     rooted = sets_of.join(first, sets_of["fp"] == first["node"], "left").select("th", F.coalesce("root", "fp").alias("root"))
-    made = map_chunks(texts, prefixes, StructType.fromDDL("th long, size int, keys array<long>")).groupBy("th").agg(F.min("size").alias("size"), F.min("keys").alias("keys"))
+    made = map_chunks(texts, prefixes, StructType.fromDDL("th long, size int, keys array<long>"), limit=1 << 20).groupBy("th").agg(F.min("size").alias("size"), F.min("keys").alias("keys"))
     lists = stored(made.join(rooted, "th"), "prefixes")
     keys = lists.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     keys = stored(keys.filter("low < high").select("key", F.ceil(F.col("n") / KEY_ROWS).cast("long").alias("parts")), "keys")

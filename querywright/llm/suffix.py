@@ -16,7 +16,8 @@ A byte is removed if a string of `length` bytes (a window) covers it that also s
 
 No task holds more than a bucket or a document, equal contexts are counted by partial aggregates, and rows are 5 numbers.
 Defined results: a null text counts as empty. Texts shorter than `length` lose nothing. Windows never cross documents; a
-row that repeats another is a document of its own, so both lose their windows. An empty table gives an empty result.
+row that repeats another is a document of its own, so both lose their windows; so are rows with a null id. An empty table
+gives an empty result. Only the id and the text are read, whatever the other columns are called; they stay as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywright.llm.common import chunk_rows, spare, stored, with_columns
+from querywright.llm.common import chunk_rows, map_arrow, spare, stored, with_columns
 
 LENGTH, GRAM, BUCKET = 200, 40, 2048
 SEGMENT = 1 << 19
@@ -261,7 +262,7 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Byte ranges (doc_id, th, begin, end) that repeated windows cover; th is the hash of the text."""
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    runs = docs.mapInArrow(_runs_task(length, gram), StructType.fromDDL(f"m long, c long, doc_id {kind}, th long, pos long"))
+    runs = map_arrow(docs, _runs_task(length, gram), StructType.fromDDL(f"m long, c long, doc_id {kind}, th long, pos long"))
     runs = stored(runs, "runs")
     # Tables that are joined are stored first: a join of plain tables is one whose hot keys Spark splits.
     marks = stored(runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"), "marks")
@@ -297,8 +298,8 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    cut_rows = some.mapInArrow(cut_out, schema).repartition("m", "salt").sortWithinPartitions("m", "salt")
-    sorted_out = cut_rows.mapInArrow(_sort_task(length, to_arrow_type(schema["doc_id"].dataType)), StructType.fromDDL(f"doc_id {kind}, th long, begin long, end long, hi long, lo long, twice boolean"))
+    cut_rows = map_arrow(some, cut_out, schema).repartition("m", "salt").sortWithinPartitions("m", "salt")
+    sorted_out = map_arrow(cut_rows, _sort_task(length, to_arrow_type(schema["doc_id"].dataType)), StructType.fromDDL(f"doc_id {kind}, th long, begin long, end long, hi long, lo long, twice boolean"))
     sorted_out = stored(sorted_out, "sorted")
     found = sorted_out.filter("hi is null").select("doc_id", "th", "begin", "end")
     names = sorted_out.filter("hi is not null")
@@ -342,7 +343,7 @@ def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         x.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in out)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, StructType.fromDDL(f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return map_arrow(rows, run, StructType.fromDDL(f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def kept_bytes(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:

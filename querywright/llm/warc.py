@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm.common import cut, filesystem, fresh_dir, stored
+from querywright.llm.common import cut, filesystem, fresh_dir, map_arrow, stored
 
 DATE = "2000-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
@@ -100,6 +100,50 @@ def _shard(page: Column, limits: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(table, at + s - 1) <= page), at + s).otherwise(at))
 
 
+class _ShardWriter:
+    """Writes a task's records, shard by shard, to files that roll at `file_bytes`. A file gets its name when it is whole."""
+
+    def __init__(self, path: str, file_bytes: int):
+        self.fs, self.base = filesystem(path)
+        self.fs.create_dir(self.base, recursive=True)
+        self.tag = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
+        self.file_bytes = file_bytes
+        self.made: list[tuple] = []  # rows of the manifest
+        self.place: tuple[int, int] | None = None
+        self.roll, self.out = 0, None
+
+    def add(self, place: tuple[int, int], member: bytes) -> None:
+        if self.out is not None and (place != self.place or self.bytes >= self.file_bytes):
+            self.close()
+        if self.out is None:
+            self._open(place)
+        self.out.write(member)
+        self.records += 1
+        self.bytes += len(member)
+        self.sha.update(member)
+
+    def _open(self, place: tuple[int, int]) -> None:
+        self.roll = self.roll + 1 if place == self.place else 0
+        self.place, self.records, self.bytes, self.sha = place, 0, 0, hashlib.sha256()
+        self.file = f"records-{place[0]:06d}-{place[1]:05d}-{self.roll:05d}.warc.gz"
+        self.temp = posixpath.join(self.base, f".{self.file}.{self.tag}")
+        self.out = self.fs.open_output_stream(self.temp, compression=None)
+
+    def close(self) -> None:
+        if self.out is None:
+            return
+        self.out.close()
+        self.out = None
+        name, sha = posixpath.join(self.base, self.file), self.sha.hexdigest()
+        if self.fs.get_file_info(name).type.name == "File":  # of another attempt, whose bytes are the same
+            if _sha256(self.fs, name) != sha:
+                raise FileExistsError(f"{name} holds other records")
+            self.fs.delete_file(self.temp)
+        else:
+            self.fs.move(self.temp, name)
+        self.made.append((self.file, self.place[0], self.records, self.bytes, sha))
+
+
 def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_rows: int = SHARD_ROWS, file_bytes: int = FILE_BYTES, level: int = 6) -> DataFrame:
     """Writes the records below `path` (in the shared folder) and returns the committed manifest."""
     spark = df.sparkSession
@@ -121,51 +165,22 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     ordered = placed.repartition(3 * len(limits) + 1, "shard", "part").sortWithinPartitions("shard", "part", "page_id", "sha", "kind").select("shard", "part", "page_id", "kind", "url", "html", "first", "sha")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = filesystem(path)
-        fs.create_dir(base, recursive=True)
-        tag = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
-        made: list[tuple] = []
-        out = note = None
-        state: dict = {}
-
-        def close() -> None:
-            nonlocal out
-            if out is not None:
-                out.close()
-                out = None
-                name = posixpath.join(base, state["name"])
-                if fs.get_file_info(name).type.name == "File":  # of another attempt, whose bytes are the same
-                    if _sha256(fs, name) != state["sha"].hexdigest():
-                        raise FileExistsError(f"{name} holds other records")
-                    fs.delete_file(state["temp"])
-                else:
-                    fs.move(state["temp"], name)
-                made.append((state["name"], state["place"][0], state["records"], state["bytes"], state["sha"].hexdigest()))
-
+        writer = _ShardWriter(path, file_bytes)
+        note = None
         for batch in batches:
             for cols in _slices(batch):
-                for s, part, page, kind, url, html, refers, sha in zip(*cols, strict=True):
-                    if kind == 0:
+                for shard, part, page, kind, url, html, refers, sha in zip(*cols, strict=True):
+                    if kind == 0:  # the note of the records that follow
                         note = (page, sha, refers)
                         continue
-                    if out is not None and ((s, part) != state["place"] or state["bytes"] >= file_bytes):
-                        close()
-                    if out is None:
-                        roll = state["roll"] + 1 if state.get("place") == (s, part) else 0
-                        name = f"records-{s:06d}-{part:05d}-{roll:05d}.warc.gz"
-                        state = {"name": name, "temp": posixpath.join(base, f".{name}.{tag}"), "place": (s, part), "roll": roll, "records": 0, "bytes": 0, "sha": hashlib.sha256()}
-                        out = fs.open_output_stream(state["temp"], compression=None)
                     payload = html.encode("utf-8", "surrogatepass")
                     refers_to = note[2] if note is not None and note[:2] == (page, sha) else None
-                    member = gzip.compress(record(page, url, payload, digest(payload), refers_to), level, mtime=0)
-                    out.write(member)
-                    state["records"] += 1
-                    state["bytes"] += len(member)
-                    state["sha"].update(member)
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(list(zip(*made, strict=True)) or [[]] * 5, _FILES, strict=True)], schema=_FILES)
-
-    found = ordered.mapInArrow(save, "file string, shard int, records long, bytes long, sha256 string")
+                    writer.add((shard, part), gzip.compress(record(page, url, payload, digest(payload), refers_to), level, mtime=0))
+        writer.close()
+        columns = list(zip(*writer.made, strict=True)) or [[]] * len(_FILES)
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, _FILES, strict=True)], schema=_FILES)
+
+    found = map_arrow(ordered, save, "file string, shard int, records long, bytes long, sha256 string")
     temp = posixpath.join(path, "_manifest-temporary")
     found.write.mode("overwrite").parquet(temp)
     old, new = _hadoop_path(spark, temp), _hadoop_path(spark, posixpath.join(path, "manifest"))
@@ -264,7 +279,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     files = read_manifest(spark, path).select("file", "bytes")
     # One file a task, dealt round.
-    return files.select("file").repartition(max(1, files.count())).mapInArrow(load, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return map_arrow(files.select("file").repartition(max(1, files.count())), load, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

@@ -72,7 +72,8 @@ def test_joined_strings_in_blocks():
 
 def test_frequent_words(spark):
     df = spark.createDataFrame([(1, "x x x y y z"), (2, None), (3, "x y")], "doc_id long, text string")
-    assert bpe.frequent_words(df, max_words=2) == [" x", " y"] or set(bpe.frequent_words(df, max_words=2)) <= {" x", " y", "x"}
+    assert bpe.frequent_words(df, max_words=2) == [" y"]  # of " x" and "x", which come as often, neither or both
+    assert bpe.frequent_words(df, max_words=3) == [" x", " y", "x"]
     assert bpe.frequent_words(df.limit(0)) == []
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -33,6 +35,62 @@ def test_mixtures_are_found(spark):
     assert [len(m) for m in model.mixtures([make("zz", 100), "éau"])] == [1, 1]
 
 
+def brute_mixture(model, text):
+    """The method word by word: EM over each nested set of languages, taken while the penalised likelihood grows."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    n = len(model.langs)
+    if not words:
+        return []
+    rows = []
+    for w in words:
+        logs = [0.0] * n
+        for t in langid.trigrams([w])[0]:
+            logs = [a + float(b) * langid.POWER for a, b in zip(logs, model.logp[t], strict=True)]
+        rows.append([math.exp(max(x - max(logs), -50.0)) for x in logs])
+
+    def em(allowed):
+        pi = [1 / len(allowed) if j in allowed else 0.0 for j in range(n)]
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * n
+            for r in rows:
+                mix = sum(p * x for p, x in zip(pi, r, strict=True))
+                new = [a + p * x / mix / len(rows) for a, p, x in zip(new, pi, r, strict=True)]
+            pi = new
+        return pi, sum(math.log(sum(p * x for p, x in zip(pi, r, strict=True))) for r in rows)
+
+    single = [sum(math.log(r[j]) for r in rows) for j in range(n)]
+    first = single.index(max(single))
+    best, value = [float(j == first) for j in range(n)], max(single)
+    full = em(set(range(n)))[0]
+    order = sorted(range(n), key=lambda j: -full[j])
+    for k in range(2, n + 1):
+        pi, score = em(set(order[:k]))
+        if score <= value + langid.PENALTY * math.log1p(len(rows)):
+            break
+        best, value = pi, score
+    return [(model.langs[j], best[j]) for j in sorted(range(n), key=lambda j: -best[j]) if best[j] > 0]
+
+
+def test_mixtures_against_brute_force(spark):
+    """Texts of one, two and three languages, short ones, ties of equal words and texts without a language."""
+    rows, make = samples(300)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [make(a, i) + " " + make(b, j) + " " + make(c, k) for a, b, c in (("xx", "yy", "zz"), ("zz", "xx", "xx"), ("yy", "yy", "yy")) for i, j, k in ((1, 0, 0), (2, 1, 0), (20, 5, 0), (60, 20, 9), (9, 9, 9), (150, 3, 2))]
+    texts += ["", "12", "ka", "ka ka ka brü brü brü", None, "q", *[t for _, t, _ in rows[:20]]]
+    for t, got in zip(texts, model.mixtures(texts), strict=True):
+        want = brute_mixture(model, t or "")
+        assert [x for x, _ in got] == [x for x, _ in want] and all(abs(p - q) < 1e-6 for (_, p), (_, q) in zip(got, want, strict=True)), t
+
+
+def test_empty_and_repeated_rows(spark):
+    rows, _ = samples(120)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1]), (1, rows[0][1])], "doc_id long, text string")
+    got = langid.identify(df, model).collect()
+    assert len(got) == 3 and len({tuple(r)[1:] for r in got}) == 1
+    assert langid.identify(df.limit(0), model).count() == 0 and langid.with_language(df.limit(0), model).columns == ["doc_id", "text", "lang_pred"]
+
+
 def test_result_does_not_depend_on_neighbours(spark):
     rows, make = samples(200)
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

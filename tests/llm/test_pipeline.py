@@ -42,6 +42,17 @@ def test_run_on_driver_rows(spark, data):
     assert rows and all(sum(n for _, n in x) <= 2048 for x in used.values())
 
 
+def test_run_over_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, a very long text and columns that clash with the stages' own names."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    rows = [(None, "a row without an id that says little", "en"), (1, "the same row twice over", "en"), (1, "the same row twice over", "en"), (2, long, None), (3, None, None), (4, "one more text of a few words", "en")]
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 7, "x") for i, t, lang in rows], SCHEMA + ", piece int, _th string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({r["doc_id"] for r in got}, key=repr) == [1, 2, 4, None]
+    assert len({r["piece"] for r in got if r["doc_id"] == 2}) > 20 and sum(r["doc_id"] == 1 for r in got) == 1
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -119,6 +119,13 @@ def test_query_against_brute_force(spark, data):
     assert {i: (r["h"], r["component_id"]) for i, r in got.items()} == {i: (f"{p:016x}", want[i]) for i, p in prints}
 
 
+def test_null_ids_and_very_long_texts(spark):
+    rows = [(None, "a b c d", 1), (5, "a b c d", 1), (9, "a B c d", 1), (None, "zz yy xx ww", 1), (7, "word other thing " * 100_000, 1), (7, "word other thing " * 100_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in S.near_groups(df).collect()), key=repr)
+    assert got == sorted([(None, 5), (5, 5), (9, 5), (None, None), (7, 7), (7, 7)], key=repr)
+
+
 def test_empty_table(spark):
     assert S.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
