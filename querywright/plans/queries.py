@@ -208,8 +208,9 @@ def _load(text: str, spark: SparkSession, sf_dir: str) -> None:
     found = [m for s in parse(text) for m in mentions(s) if m[0] == "relation"]
     load_tables(spark, sf_dir, [t for t in TABLES if t in {m[2].lower() for m in found if not m[1]}])
     for _, schema, name, *_ in found:
-        if schema and not spark.catalog.tableExists(f"{schema}.{name}"):
+        if schema:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")  # of another folder
             spark.sql(f"CREATE TABLE {schema}.{name} USING parquet LOCATION '{sf_dir}/{name}.parquet'")
 
 
