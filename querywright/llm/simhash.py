@@ -360,6 +360,11 @@ def prefix(distinct: np.ndarray, similarity: float, usual: np.ndarray, place: np
     return distinct[:size]
 
 
+def short_keys(members: np.ndarray) -> np.ndarray:
+    """Members as 31-bit numbers. Two that become one only add pairs, which are compared exactly."""
+    return ((members ^ (members >> np.uint64(32))) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+
+
 #: The order of prefixes: one set in SAMPLE is counted; shingles in USUAL or more of those come last, the ORDERED most usual.
 SAMPLE, USUAL, ORDERED = 16, 2, 250_000
 #: Members of a prefix key that one task pairs with all of the key's members.
@@ -422,25 +427,32 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def prefixes(ids: list, texts: list) -> dict:
         sets = [np.unique(shingle_hashes(t, ngram)) for t in texts]
-        return {"th": [set_hash(x) for x in sets], "size": [len(x) for x in sets], "keys": [prefix(x, similarity, *order.value).view(np.int64) for x in sets]}
+        return {"th": [set_hash(x) for x in sets], "size": [len(x) for x in sets], "keys": [short_keys(prefix(x, similarity, *order.value)) for x in sets]}
 
     rooted = sets_of.join(first, sets_of["fp"] == first["node"], "left").select("th", F.coalesce("root", "fp").alias("root"))
-    made = map_chunks(texts, prefixes, StructType.fromDDL("th long, size int, keys array<long>"), limit=1 << 20).groupBy("th").agg(F.min("size").alias("size"), F.min("keys").alias("keys"))
+    made = map_chunks(texts, prefixes, StructType.fromDDL("th long, size int, keys array<int>"), limit=1 << 20).groupBy("th").agg(F.min("size").alias("size"), F.min("keys").alias("keys"))
     lists = stored(made.join(rooted, "th"), "prefixes")
     keys = lists.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     keys = stored(keys.filter("low < high").select("key", F.ceil(F.col("n") / KEY_ROWS).cast("long").alias("parts")), "keys")
-    hits = stored(lists.select("th", "size", "root", F.posexplode("keys").alias("at", "key")).join(sized(keys), "key"), "hits")
-    # A key's members are dealt over its parts, and meet all of its members there.
+    hits = stored(lists.select("th", "size", "root", F.posexplode("keys").alias("at", "key")).join(keys, "key"), "hits")
+    # A key's members are dealt over its parts, and meet there those of its members that are no larger. Of a pair's shared
+    # members the first in order counts: what the two share comes with it or after it, so in the smaller set it stands in
+    # a shorter prefix, and both have enough members from there on.
     left = hits.withColumn("part", F.pmod("th", "parts")).select("key", "part", *[F.col(c).alias(f"a_{c}") for c in ("th", "size", "root", "at")])
-    right = hits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", "part", *[F.col(c).alias(f"b_{c}") for c in ("th", "size", "root", "at")])
+    short = F.col("at") <= F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-9)
+    right = hits.filter(short).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", "part", *[F.col(c).alias(f"b_{c}") for c in ("th", "size", "root", "at")])
     need = similarity * (F.col("a_size") + F.col("b_size")) - 1e-6
-    most = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
-    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
-    pair = left.join(right, ["key", "part"]).filter((F.col("a_th") < F.col("b_th")) & (F.col("a_root") != F.col("b_root")) & sizes & (most * (1 + similarity) >= need))
-    met = pair.groupBy(F.col("a_th").alias("th"), F.col("b_th").alias("hub"), "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"))
-    # What two sets share is in both prefixes, or beyond the prefix that ends first.
+    most = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    larger = (F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_th") > F.col("b_th")))
+    enough = larger & (F.col("b_size") >= similarity * F.col("a_size") - 1e-6) & (most * (1 + similarity) >= need)
+    pair = left.join(right, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & enough)
+    met = stored(pair.select(F.col("a_th").alias("th"), F.col("b_th").alias("hub")).distinct(), "met")
+    # Their prefixes tell more, at a tenth of the sets' bytes: what two sets share is in both prefixes, or beyond the prefix
+    # that ends first. Members whose keys are equal are counted as shared, so no pair is lost by short keys.
+    both = met.join(lists.select("th", F.col("size").alias("a_size"), F.col("keys").alias("a")), "th").join(lists.select(F.col("th").alias("hub"), F.col("size").alias("b_size"), F.col("keys").alias("b")), "hub")
+    n = F.size(F.array_intersect("a", "b")) + F.size("a") - F.size(F.array_distinct("a"))
     beyond = F.ceil(similarity * F.greatest("a_size", "b_size") - 1e-9) - 1
-    rest = stored(met.filter((F.col("n") + beyond) * (1 + similarity) >= need).select("th", "hub"), "rest")
+    rest = stored(both.filter((n + beyond) * (1 + similarity) >= need).select("th", "hub"), "rest")
 
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(close(rest))
     final = components(edges)
